@@ -29,6 +29,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_chats(table(spark, sf_dir, "conversations"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import fit_quality, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.neardup import near_duplicates
 
