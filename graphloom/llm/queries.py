@@ -17,6 +17,12 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.repeats import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.mixing import mix_report
 
