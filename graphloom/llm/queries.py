@@ -23,6 +23,12 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.mixing import mix_report
 
