@@ -48,12 +48,25 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_quality(docs))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontam import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.langid import fit_crf, languages, training_spans
+
+    docs = table(spark, sf_dir, "documents")
+    return languages(docs, fit_crf(training_spans(docs)))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -66,6 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from graphloom.llm import chat
+    from graphloom.llm import chat, decontam
 
-    return {"op5_chat_format": chat.SQL}
+    return {"op5_chat_format": chat.SQL, "op7_decontaminate": decontam.SQL}
