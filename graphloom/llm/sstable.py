@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.llm.common import fresh_path, sized_partitions
+from graphloom.llm.words import chunks
 
 MAGIC = b"GLSST001"
 FOOTER = struct.Struct("<8sIIQQQQQQI")  # magic, shard, id width, docs, tokens, index at/len, bloom at/len, hashes
@@ -43,7 +44,8 @@ INDEX = struct.Struct("<QII")
 BLOCK_BYTES = 64 << 10
 SHARD_TEXT_BYTES = 16 << 20
 BLOOM_BITS = 10
-CACHE_PIECES = 700_000
+SLICE_BYTES = 12 << 20  # of text encoded at once
+CACHE_PIECES = 500_000  # twice as many are held: those seen lately and those before
 
 _UNSAFE = r"[\s\p{Z}\x{85}\x1c-\x1f] "
 _loaded: dict[str, "PieceEncoder"] = {}
@@ -62,6 +64,7 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.tok.model._resize_cache(0)  # ours holds what repeats
         vocab = self.tok.get_vocab(with_added_tokens=True)
         top = max(vocab.values(), default=0)
         self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
@@ -69,6 +72,7 @@ class PieceEncoder:
         self.space[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.pieces = self._splits()
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _splits(self) -> bool:
         probe = "ab cd's 12 .. é\nx ñ"
@@ -82,16 +86,20 @@ class PieceEncoder:
         return np.array(self._ids(text), dtype=self.dtype).tobytes()
 
     def _learn(self, missing: list[str]) -> None:
-        if len(self.cache) + len(missing) > CACHE_PIECES:
-            self.cache.clear()
-        odd = [p for p in missing if not p or p[-1].isspace() or p[0].isspace()]
-        for p in odd:
-            self.cache[p] = self._one(" " + p)
-        plain = [p for p in missing if p and not p[-1].isspace() and not p[0].isspace()]
+        older, unseen = self.older, []
+        for p in missing:
+            if (ids := older.get(p)) is None:
+                unseen.append(p)
+            else:
+                self.cache[p] = ids
+        plain = [p for p in unseen if p and not p[-1].isspace() and not p[0].isspace()]
+        if len(plain) < len(unseen):
+            for p in set(unseen).difference(plain):
+                self.cache[p] = self._one(" " + p)
         width = self.dtype.itemsize
-        for k in range(0, len(plain), 2000):
-            some = plain[k : k + 2000]
-            ids = np.array(self._ids(" " + " ".join(some)), dtype=self.dtype)
+        for k in range(0, len(plain), 64):
+            some = plain[k : k + 64]
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             starts = np.flatnonzero(self.space[ids])
             if len(starts) != len(some):
                 for p in some:
@@ -117,22 +125,22 @@ class PieceEncoder:
         flat = parts.flatten()
         coded = flat.dictionary_encode()
         keys = coded.dictionary.to_pylist()
-        if missing := [k for k in keys if k not in self.cache]:
+        got = list(map(self.cache.get, keys))
+        if missing := [k for k, ids in zip(keys, got, strict=True) if ids is None]:
             self._learn(missing)
-            if len(missing) < len(keys):
-                if again := [k for k in keys if k not in self.cache]:  # the cache was emptied meanwhile
-                    self._learn(again)
-        got = [self.cache[k] if k in self.cache else self._one(" " + k) for k in keys]
+            got = list(map(self.cache.__getitem__, keys))
+            if len(self.cache) > CACHE_PIECES:
+                self.older, self.cache = self.cache, {}
         first = coded.indices.to_numpy()
         offsets = offsets - offsets[0]
         heads = [self._one(p) for p in flat.take(pa.array(offsets[:-1])).to_pylist()]  # no space before these
         width = self.dtype.itemsize
-        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // width
-        pool, pool_at = np.frombuffer(b"".join(got), dtype=self.dtype), np.cumsum(size) - size
+        size = np.fromiter(map(len, got), dtype=np.int32, count=len(got)) // width
+        pool, pool_at = np.frombuffer(b"".join(got), dtype=self.dtype), np.cumsum(size, dtype=np.int32) - size
         length, src = size[first], pool_at[first]
         length[offsets[:-1]] = 0
-        end = np.cumsum(length)
-        ids = pool[np.arange(end[-1]) + np.repeat(src - (end - length), length)]
+        end = np.cumsum(length, dtype=np.int32)
+        ids = pool[np.arange(end[-1], dtype=np.int32) + np.repeat(src - (end - length), length)]
         bound = np.concatenate([[0], end])[offsets]
         for j, i in enumerate(safe):
             body = ids[bound[j] : bound[j + 1]]
@@ -296,8 +304,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         shard = None
         for batch in batches:
             shard = shard or ShardWriter(TaskContext.get().partitionId(), enc.dtype.itemsize)
-            for some in range(0, batch.num_rows, 4000):
-                part = batch.slice(some, 4000)
+            for a, b, _, _ in chunks(batch.column(1), SLICE_BYTES):
+                part = batch.slice(a, b - a)
                 for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                     for raw in shard.add(doc_id, ids.tobytes() + end):
                         yield pa.record_batch({"value": pa.array([raw], pa.binary())})
