@@ -5,7 +5,9 @@ banded (32 bands of 4 minimum hashes: a pair at similarity 0.75 shares none with
 come in two rounds, so that a bucket of n near copies costs about n pairs and not n * n:
 
 1. each member of a bucket with the smallest member (a hub; every band has its own);
-2. members whose component after round 1 isn't their bucket's most frequent one, with all members of other components.
+2. in buckets with several components after round 1: members outside the most frequent one with all members of
+   other components. Both sides are dealt out in chunks, so a bucket is many tasks; a task compares its rows as
+   matrices and gives a spanning forest of the links it finds.
 
 After that, any two members of a bucket are either connected or compared. Comparison is sequential: signatures
 are compared 32 values at a time, and a pair is dropped once the posterior probability (uniform prior) of a
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut
 from graphloom.llm.graph import components
+from graphloom.llm.runs import group_cuts, group_runs
 from graphloom.llm.words import chunks, min_hashes, shingles, splitmix, unique_sets
 
 BANDS, ROWS = 32, 4
 BATCH = 32
 MISS = 1e-6
+CHUNK = 1_024  # members of a bucket in one task of round 2, on either side
 
 
 def least_matches(threshold: float, hashes: int, batch: int, miss: float) -> dict[int, int]:
@@ -74,12 +78,22 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", te
                 mine = [k for k, s in enumerate(found) if np.sum(splitmix(s ^ np.uint64(1)), dtype=np.uint64).view(np.int64) == h1[a + k]]
                 if mine:
                     ends = np.concatenate([[0], np.cumsum([len(found[k]) for k in mine])]).astype(np.int32)
-                    flat = np.concatenate([found[k] for k in mine]).view(np.int64)
+                    flat = np.concatenate([np.sort(found[k].view(np.int64)) for k in mine])
                     yield pa.record_batch([batch.column(0).slice(a, b - a).take(pa.array(mine)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "set"])
 
     return texts.mapInArrow(sets, "id long, set array<long>")
 
 
+def _alive(x: np.ndarray, y: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Which rows of signatures x and y aren't dropped; a batch of values at a time."""
+    alive, matches = np.arange(max(len(x), len(y))), np.zeros(max(len(x), len(y)), dtype=np.int64)
+    x, y = np.broadcast_to(x, (len(alive), x.shape[1])), np.broadcast_to(y, (len(alive), y.shape[1]))
+    for n, m in least.items():
+        matches[alive] += (x[alive, n - BATCH : n] == y[alive, n - BATCH : n]).sum(axis=1)
+        alive = alive[matches[alive] >= m]
+    return alive
+
+
 def _probable(pairs: DataFrame, signed: DataFrame, threshold: float, miss: float) -> DataFrame:
     """The pairs (a, b) that sequential comparison of their signatures doesn't drop."""
     least = least_matches(threshold, BANDS * ROWS, BATCH, miss)
@@ -87,11 +101,7 @@ def _probable(pairs: DataFrame, signed: DataFrame, threshold: float, miss: float
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, BANDS * ROWS) for c in (2, 3))
-            alive, matches = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
-            for n, m in least.items():
-                matches[alive] += (x[alive, n - BATCH : n] == y[alive, n - BATCH : n]).sum(axis=1)
-                alive = alive[matches[alive] >= m]
-            keep = pa.array(alive)
+            keep = pa.array(_alive(x, y, least))
             yield pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
     both = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(signed.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
@@ -105,6 +115,71 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return sized.where(F.lit(100) * F.col("i") >= F.lit(round(100 * threshold)) * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+def _across(placed: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """Links (a, b) that join components within a bucket. placed: key, band, id, c (component after round 1)."""
+    most = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    chunks_of = lambda c: F.ceil(c / CHUNK).cast("int")
+    most = most.where("parts > 1").select("key", "main", chunks_of(F.col("n")).alias("mc"), chunks_of(F.col("n") - F.col("in_main")).alias("oc"))
+    open_ = placed.join(most, "key")
+    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["key", "band", "id", "c"]
+    members = open_.select(*cols, spread("mc", 1).alias("mi"), every("oc").alias("oi"), F.lit(0).alias("odd"))
+    odd = open_.where("c <> main").select(*cols, every("mc").alias("mi"), spread("oc", 2).alias("oi"), F.lit(1).alias("odd"))
+    full = signed.select("id", "sig").join(sets, "id")
+    group = ("key", "oi", "mi")
+    dealt = members.unionByName(odd).join(full, "id").repartition(*group).sortWithinPartitions(*group, "odd", "id")
+    least = least_matches(threshold, BANDS * ROWS, BATCH, miss)
+    percent = round(100 * threshold)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in group_runs(batches, group):
+            ids, comp, is_odd, band = (part.column(c).to_numpy() for c in ("id", "c", "odd", "band"))
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, BANDS * ROWS)
+            lists = part.column("set").combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            size = np.diff(at)
+            pairs: list[tuple[int, int]] = []
+            cuts = group_cuts(part, group)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                m, o = a + np.flatnonzero(is_odd[a:b] == 0), a + np.flatnonzero(is_odd[a:b] == 1)
+                if not len(m) or not len(o):
+                    continue
+                root: dict[int, int] = {}
+
+                def find(x: int, root=root) -> int:
+                    while (y := root.setdefault(x, x)) != x:
+                        root[x] = root[y]
+                        x = root[y]
+                    return x
+
+                first = int(band[a])
+                for i in o.tolist():
+                    mine = find(int(comp[i]))
+                    others = m[np.array([find(c) != mine for c in comp[m].tolist()], dtype=bool)]
+                    if first and len(others):  # pairs that met in an earlier band are done there
+                        met = (sig[others, : first * ROWS].reshape(len(others), first, ROWS) == sig[i, : first * ROWS].reshape(first, ROWS)).all(axis=2).any(axis=1)
+                        others = others[~met]
+                    if not len(others):
+                        continue
+                    others = others[_alive(sig[i : i + 1], sig[others], least)]
+                    own = flat[at[i] : at[i + 1]]
+                    for j in others.tolist():
+                        if find(int(comp[i])) == find(int(comp[j])):
+                            continue
+                        its = flat[at[j] : at[j + 1]]
+                        where = np.minimum(np.searchsorted(own, its), len(own) - 1)
+                        n = int((own[where] == its).sum())
+                        if 100 * n >= percent * (size[i] + size[j] - n):
+                            pairs.append((int(ids[i]), int(ids[j])))
+                            root[find(int(comp[i]))] = find(int(comp[j]))
+            if pairs:
+                x, y = zip(*pairs, strict=True)
+                yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return dealt.select(*group, "odd", "id", "c", "band", "sig", "set").mapInArrow(link, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -118,7 +193,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = MISS
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("id"))
     classes = cut(classes, "classes")
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)))
-    banded = classes.select("id", F.explode(bands).alias("key"))
+    banded = classes.select("id", F.posexplode(bands).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("key", "hub")
     members = cut(banded.join(shared, "key"), "members")
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
@@ -127,13 +202,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = MISS
     hubs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     linked = cut(_confirmed(_probable(hubs, classes, threshold, miss), sets, threshold), "links1")
     first = components(linked)
-    placed = cut(members.select("key", "id").join(first, "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "c"), "placed")
-    main = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_ = placed.join(main, "key")
-    odd = open_.where("c <> main").select("key", F.col("id").alias("p"), F.col("c").alias("pc"))
-    cross = odd.join(open_.select("key", F.col("id").alias("q"), F.col("c").alias("qc"), "main"), "key").where("pc <> qc and (qc = main or p < q)")
-    pairs = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti")
-    more = _confirmed(_probable(pairs, classes, threshold, miss), sets, threshold)
+    placed = cut(members.select("key", "band", "id").join(first, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c")), "placed")
+    more = cut(_across(placed, classes, sets, threshold, miss), "links2")
     final = components(linked.unionByName(more))
 
     member_of = classes.select("n_shingles", "h1", "h2", "id").join(final, "id", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "id").alias("found"))
