@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut
 from graphloom.llm.graph import components
+from graphloom.llm.runs import group_cuts, group_runs
 
 SAMPLE = 20_000  # vectors that the quantiser is fitted on, at most about
 RECALL = 0.985  # of pairs just at the threshold
@@ -128,12 +129,10 @@ def _one_length(classes: DataFrame, d: int, threshold: float, recall: float, sam
     blocks = dealt.join(coded, "id").repartition("t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q", "id")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
         def solve(part: pa.Table) -> list[pa.RecordBatch]:
             col = {c: part.column(c).to_numpy() for c in ("t", "key", "p", "q", "chunk", "id", "w")}
             group = np.stack([col[c].astype(np.int64) for c in ("t", "key", "p", "q")], axis=1)
-            cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1, [len(group)]])
+            cuts = group_cuts(part, ("t", "key", "p", "q"))
             v = np.frombuffer(b"".join(part.column("v").to_pylist()), dtype=float).reshape(-1, d)
             norm = np.linalg.norm(v, axis=1)
             odd = (norm < 1e-100) | (norm > 1e100) | ~np.isfinite(norm)
@@ -171,19 +170,8 @@ def _one_length(classes: DataFrame, d: int, threshold: float, recall: float, sam
             to = np.concatenate(tos)
             return [pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns)), pa.array(col["id"][np.maximum(to, 0)], mask=to < 0)], names=["id", "n", "other"])]
 
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            whole = pa.concat_tables(held)
-            last = whole.slice(whole.num_rows - 1).to_pylist()[0] if whole.num_rows else None
-            if last is None:
-                continue
-            same = np.logical_and.reduce([whole.column(c).to_numpy() == last[c] for c in ("t", "key", "p", "q")])
-            at = int(np.argmax(same))  # groups are in order: the last one may go on in the next batch
-            if at:
-                yield from solve(whole.slice(0, at))
-            held = [whole.slice(at)]
-        if held and held[0].num_rows:
-            yield from solve(pa.concat_tables(held))
+        for part in group_runs(batches, ("t", "key", "p", "q")):
+            yield from solve(part)
 
     found = cut(blocks.select("t", "key", "p", "q", "chunk", "id", "w", "v", "keys").mapInArrow(link, "id long, n long, other long"), "vector-links")
     counts = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
