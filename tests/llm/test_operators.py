@@ -1,0 +1,359 @@
+"""Each operator against brute force, with nulls, empty and long texts, repeated rows, empty tables and extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def shingle_set(text):
+    w = words(text)
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdeéñ") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n)) + "."
+    base, shared = prose(300), prose(90)
+    out = [prose(rng.randint(1, 200)) for _ in range(30)]
+    for k in range(8):  # near copies, some under the threshold
+        w = base.split(" ")
+        for i in rng.sample(range(len(w)), k * 3):
+            w[i] = "x" + w[i]
+        out.append(" ".join(w))
+    out += [base, base.upper(), prose(40) + " " + shared + " " + prose(30), shared + prose(20), prose(9000) + " " + base]
+    out += [None, "", " \t\n", "one", "One", "two  words", "a b c d e", "A B C D E f", "ab" * 900, "The " * 400, "The " * 300 + "\n  x", "  odd  space \r\n", "....!!", "12 34"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, ["en", None][i % 7 == 0], f"s{i % 3}" if i % 5 else None, 1) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, texts[4], None, None, None), (None, "nameless text of its own for this very test", None, None, None)]
+    return spark.createDataFrame(rows, DOCS).withColumns({"k": F.lit(1), "h": F.lit("clash"), "rid": F.lit(2), "n": F.lit(3), "copies": F.lit(4), "id": F.lit(5)}).repartition(3)
+
+
+def rows_of(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+def test_token_shards_round_trip(spark, docs, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from graphloom.llm.sstable import ShardReader, token_shards
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    got = [tuple(r) for r in token_shards(docs, path, str(tmp_path / "shards")).orderBy("start").collect()]
+    want = {}
+    for i, t in rows_of(docs):
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+        want.setdefault(i, []).append((len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+    at = 0
+    for i, start, n, crc in got:
+        assert start == at and (n, crc) in want[i]
+        want[i].remove((n, crc))
+        at += n
+    assert not any(want.values())
+    keys = [-1 if r[0] is None else r[0] for r in got]
+    assert keys == sorted(keys)
+    files = sorted((tmp_path / "shards").glob("part-*"))
+    found = []
+    for f in files:
+        raw = f.read_bytes()
+        if raw:
+            shard = ShardReader(lambda a, n, raw=raw: raw[a : a + n], len(raw))
+            found += shard.get(3)
+            assert shard.get(10**9) == []
+    assert len(found) == 3
+    assert token_shards(docs.limit(0), path).count() == 0
+
+
+def test_repeated_passages(spark, docs):
+    from graphloom.llm.repeats import repeated_passages
+
+    least = 60
+    rows = [(i, (t or "").encode()) for i, t in rows_of(docs)]
+    count = Counter(b[k : k + least] for _, b in rows for k in range(len(b) - least + 1))
+    want = Counter()
+    for i, b in rows:
+        gone = [False] * len(b)
+        for k in range(len(b) - least + 1):
+            if count[b[k : k + least]] > 1:
+                gone[k : k + least] = [True] * least
+        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        want[(i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())] += 1
+    assert Counter(tuple(r) for r in repeated_passages(docs, least).collect()) == want
+    assert repeated_passages(docs.limit(0), least).count() == 0
+
+
+def test_repeated_passages_hot_hash(spark, docs, monkeypatch):
+    from graphloom.llm import repeats
+
+    usual = {tuple(r) for r in repeats.repeated_passages(docs, 60).collect()}
+    monkeypatch.setattr(repeats, "BLOCK_SEGMENTS", 1)
+    assert {tuple(r) for r in repeats.repeated_passages(docs, 60).collect()} == usual
+
+
+def test_suffix_array_is_sorted():
+    from graphloom.llm.suffixes import common_prefixes, suffix_array
+
+    rng = random.Random(1)
+    for text in (b"", b"a", b"aaaaaaaa", b"banana\xffbanana\xff", bytes(rng.choice(b"ab\xff") for _ in range(500))):
+        got = suffix_array(text, len(text) + 1).tolist()
+        assert got == sorted(range(len(text)), key=lambda i: text[i:])
+        wanted = np.array([rng.random() < 0.2 for _ in text], dtype=bool)
+        some = suffix_array(text, len(text) + 1, wanted).tolist()
+        assert some == [i for i in got if i in set(some)] and set(np.flatnonzero(wanted)) <= set(some)
+        for most in (5, 400):
+            lcp = common_prefixes(text, np.array(got, dtype=np.int64), most).tolist()
+            for k in range(1, len(got)):
+                a, b = text[got[k - 1] :], text[got[k] :]
+                n = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                assert lcp[k] == min(n, most)
+
+
+def vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, (base[i % 40] + (0.12 if i >= 40 else 0) * rng.normal(size=16)).tolist(), 1) for i in range(160)]
+    rows += [(500 + i, rows[5][1], None) for i in range(4)]
+    rows += [(600, None, 1), (601, [], 1), (602, [0.0] * 16, 1), (603, [float("nan")] + [1.0] * 15, 1), (604, [None] + [1.0] * 15, 1), (605, [float("inf")] * 16, 1), (606, [1.0, 2.0], 1), (607, [2.0, 4.0], 1), (608, [1e-30] * 16, 1), (None, rows[5][1], 1)]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit(1))
+
+
+def test_near_vectors(spark):
+    from graphloom.llm.embeddings import near_vectors
+
+    rows, df = vectors(spark)
+    got = {r["vec_id"]: r for r in near_vectors(df).collect()}
+    good = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = {i: 0 for i, _, _ in rows}
+    for a, (i, x) in enumerate(good):
+        for j, y in good[:a]:
+            if len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9:
+                links[i] += 1
+                links[j] += 1
+    assert sum(got[i]["n_links"] for i in links) >= 0.97 * sum(links.values())
+    assert all(got[i]["n_links"] <= n for i, n in links.items())
+    for i in (600, 601, 602, 603, 604, 605):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    assert got[607]["component_id"] == 606 and got[503]["component_id"] == 5 and not got[None]["kept"]
+    assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_entropy_mix(spark, docs):
+    from graphloom.llm.mixing import mix_report, mixed_documents
+
+    docs = docs.where("text is null or length(text) < 20000")  # one text of most words leaves whole copies no way near
+    rows = mix_report(docs).collect()
+    size = {}
+    for r in docs.collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        size[r["source"]] = size.get(r["source"], 0) + n
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    budget, target, left = 1.5 * sum(size.values()), {}, set(size)
+    while left:
+        share = {s: budget * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = [s for s in left if share[s] > 2 * size[s]]
+        target |= {s: 2.0 * size[s] for s in over} if over else share
+        budget -= sum(2 * size[s] for s in over)
+        left = left - set(over) if over else set()
+    taken = Counter()
+    for r in rows:
+        assert r["source_size"] == size[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert len(rows) == docs.count() and all(abs(taken[s] - target[s]) <= max(40, 0.02 * target[s]) for s in size)
+    again = sorted(map(str, mix_report(docs.repartition(5)).collect()))
+    assert again == sorted(map(str, rows))
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got = Counter(r["source"] for r in mixed.collect() for _ in words(r["text"]))
+    assert got == +taken
+    assert mix_report(docs.limit(0)).count() == 0
+
+
+def test_chat(spark):
+    from graphloom.llm.chat import render_chats
+
+    talk = [("user", "hi"), ("assistant", "yes?"), ("user", None), ("assistant", "")]
+    convs = {1: talk[:1], 2: talk[:2], 3: talk, 4: talk, 5: [("user", "hi"), ("assistant", "no")], 6: [(None, None)], 7: [("user", "x" * 50000)], None: talk[:3]}
+    rows = [(c, k, r, t, "z") for c, ts in convs.items() for k, (r, t) in enumerate(ts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, k string").repartition(3)
+    got = {r["conv_id"]: r for r in render_chats(df).collect()}
+    assert set(got) == {3, 5, 6, 7}
+    assert got[3]["n_turns"] == 4 and got[3]["chat"].startswith("<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes?")
+    assert render_chats(df.limit(0)).count() == 0
+
+
+def test_quality(spark, docs):
+    from graphloom.llm.quality import fit_quality, good_documents, quality_scores
+
+    rng = random.Random(2)
+    vocab = [f"{a}{b}" for a in "bcdfgt" for b in ("ale", "ondo", "ip", "umba", "ees")]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n)).capitalize() + "."
+    good = [" ".join(prose(12) for _ in range(6)) for _ in range(120)]
+    bad = ["BUY NOW!! " * 30] * 15 + ["a | b | c | " * 30] * 15 + ["same " * 90] * 15
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad + [None, "", " "])], "doc_id long, text string").withColumn("score", F.lit("x"))
+    model = fit_quality(df)
+    keep = {r["doc_id"]: r["keep"] for r in quality_scores(df, model).collect()}
+    assert sum(keep[i] for i in range(120)) >= 118 and not any(keep[i] for i in range(120, 168))
+    kept = good_documents(df, model)
+    assert kept.columns == df.columns and kept.count() == sum(keep.values())
+    empty = df.limit(0)
+    assert quality_scores(empty, fit_quality(empty)).count() == 0
+    assert quality_scores(docs, fit_quality(docs)).count() == docs.count()
+
+
+def test_decontamination(spark, docs, texts):
+    from graphloom.llm.decontam import contained_items, decontaminated
+
+    w = texts[-16].split(" ")
+    items = [(1, " ".join(w[100:130])), (2, " ".join(w[5000:5040]).upper()), (3, "never seen before at all in any text here"), (4, None), (5, ""), (6, "one"), (7, texts[10]), (7, texts[11]), (None, texts[12]), (9, " ".join(w[200:230] + ["new"] * 3)), (10, " ".join(w[:9000]))]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("set", F.lit(1))
+    want = set()
+    for d, t in rows_of(docs):
+        for i, x in items:
+            a, b = shingle_set(t), shingle_set(x)
+            if b and 100 * len(a & b) >= 75 * len(b):
+                want.add((d, i, len(a & b), len(b)))
+    got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in contained_items(docs, bench).collect()}
+    assert got == want and want
+    clean = decontaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(i) for i, t in rows_of(docs) if not any(shingle_set(x) and 100 * len(shingle_set(t) & shingle_set(x)) >= 75 * len(shingle_set(x)) for _, x in items))
+    assert contained_items(docs, bench.limit(0)).count() == 0 == contained_items(docs.limit(0), bench).count()
+
+
+def test_near_duplicates(spark, docs):
+    from graphloom.llm.neardup import near_duplicates
+
+    rows = rows_of(docs)
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    component = {i: i for i, _ in sets if i is not None}
+    for _ in range(len(sets)):
+        for i, a in sets:
+            for j, b in sets:
+                if None not in (i, j) and a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    component[i] = component[j] = min(component[i], component[j])
+    got = near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["component_id"], r["kept"]) == (component[r["doc_id"]], component[r["doc_id"]] == r["doc_id"])
+    assert Counter(r["n_shingles"] for r in got) == Counter(len(s) for _, s in sets)
+    assert {r["component_id"] for r in got if r["doc_id"] is None} == {4, None}
+    assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_bucket_of_several_components(spark):
+    """A chain: each is near the next but not the one after, so buckets hold several components after round 1."""
+    from graphloom.llm.neardup import near_duplicates
+
+    w = [f"w{i}" for i in range(900)]
+    df = spark.createDataFrame([((i * 37) % 61, " ".join(w[i * 10 : i * 10 + 200])) for i in range(61)], "doc_id long, text string")
+    got = near_duplicates(df).collect()
+    assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+
+
+def test_pruning_bound():
+    from graphloom.llm.neardup import least_matches
+
+    rng = np.random.default_rng(1)
+    least = least_matches(0.75, 128, 32, 1e-6)
+    same = (rng.random((20000, 128)) < 0.75).cumsum(axis=1)
+    assert all((same[:, n - 1] >= m).mean() > 0.9995 for n, m in least.items()) and least[128] > 60
+
+
+def test_language(spark, docs):
+    from graphloom.llm.langid import fit_crf, languages, training_spans
+
+    rng = random.Random(3)
+    parts = {"aa": ["tho", "ing", "wer"], "bb": ["ção", "que", "dos"], "cc": ["sch", "üng", "ver"]}
+    prose = lambda x, n: " ".join("".join(rng.choice(parts[x]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, prose(x, rng.randint(5, 60)), x, None) for i in range(240) for x in [["aa", "bb", "cc"][i % 3]]]
+    odd = [(1000, None, "aa", None), (1001, "", "aa", None), (1002, "12 !!", "bb", None), (1003, prose("aa", 8000), "aa", None), (1004, prose("bb", 30), None, None), (None, prose("cc", 20), "cc", None), (1005, prose("aa", 10) + " " + prose("cc", 40), "cc", None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score string")
+    got = {r["doc_id"]: r for r in languages(df, fit_crf(training_spans(df))).collect()}
+    assert all(got[i]["lang_pred"] == x for i, _, x, _ in rows)
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, *_ in rows)
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003, 1004, None, 1005)] == ["und", "und", "und", "aa", "bb", "cc", "cc"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    none = df.limit(0)
+    assert {r["lang_pred"] for r in languages(df, fit_crf(training_spans(none))).collect()} == {"und"}
+    assert languages(none, fit_crf(training_spans(none))).count() == 0
+
+
+def test_forward_backward_is_exact():
+    from itertools import product
+
+    from graphloom.llm.langid import SIZE, Crf, words_of
+
+    rng = np.random.default_rng(2)
+    model = Crf(["x", "y", "z"], rng.normal(size=(SIZE, 3)), rng.normal(size=(3, 3)))
+    raw = np.frombuffer(b"ab cd ab efgh", dtype=np.uint8)
+    _, word, flat, begin = words_of(raw, np.array([0, len(raw)]))
+    p = model.potentials(flat, begin)[word]
+    total, want = 0.0, np.zeros(3)
+    for path in product(range(3), repeat=4):
+        s = np.exp(sum(p[t, k] for t, k in enumerate(path)) + sum(model.moves[a, b] for a, b in zip(path, path[1:])))
+        total += s
+        want += s * np.bincount(path, minlength=3)
+    assert np.allclose(model.expected(raw, np.array([0, len(raw)]))[0], want / total)
+
+
+def test_toxicity(spark):
+    from graphloom.llm.toxicity import fit_toxicity, toxicity_scores
+
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 7))) for _ in range(300)]
+    rude = ["vileword", "nastyterm", "uglyphrase", "brutishzz"]
+    rows, truth = [], []
+    for i in range(900):
+        w = [rng.choice(vocab) for _ in range(rng.randint(20, 80))]
+        if i % 6 == 0:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(rude)
+        rows.append((i, " ".join(w)))
+        truth.append((i, 1, int(i % 6 == 0)))
+    docs = spark.createDataFrame(rows + [(2000, None), (2001, ""), (None, "a vileword"), (0, rows[0][1])], "doc_id long, text string").withColumn("toxic", F.lit("x"))
+    labels = spark.createDataFrame(truth + [(1, None, None), (None, 1, 1), (5000, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity_scores(docs, fit_toxicity(docs, labels)).collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 2000]
+    assert held and sum(r["predicted"] == (r["doc_id"] % 6 == 0) for r in held) >= 0.97 * len(held)
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got) and len(got) == 904
+    assert all(not r["predicted"] for r in got if r["doc_id"] in (2000, 2001))
+    none = labels.limit(0)
+    assert toxicity_scores(docs, fit_toxicity(docs, none)).count() == 904
+    assert toxicity_scores(docs.limit(0), fit_toxicity(docs.limit(0), labels)).count() == 0
+
+
+def test_pipeline_stages(spark, docs, texts, tmp_path):
+    import corpus_pipeline
+
+    w = texts[-16].split(" ")
+    spark.createDataFrame([(1, " ".join(w[100:130]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = docs.where("doc_id is not null")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.schema == d.schema and out.count() > 0
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+    kept = corpus_pipeline.STAGES[1][1](spark, d, str(tmp_path)).select("doc_id").collect()
+    assert len(kept) == len({r["doc_id"] for r in kept})
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
