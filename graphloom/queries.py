@@ -154,16 +154,16 @@ def g2_entities(spark, d):
     return graph.entities(commerce_edges(spark, d))
 
 
-@query(f"WITH {EDGES_SQL} SELECT head, relation, tail, max(score) AS score FROM edges WHERE head = 'ASIA' OR tail = 'ASIA' OR head = 'CHINA' OR tail = 'CHINA' GROUP BY ALL")
+@query(f"WITH {EDGES_SQL} SELECT head, relation, tail, max(score) AS score FROM edges WHERE head = 'ASIA' OR tail = 'ASIA' OR head = 'NATION_2' OR tail = 'NATION_2' GROUP BY ALL")
 def g3_triples_of(spark, d):
     e = commerce_edges(spark, d)
-    return graph.triples_of(e, "ASIA").unionByName(graph.triples_of(e, "CHINA")).select("head", "relation", "tail", "score").distinct()
+    return graph.triples_of(e, "ASIA").unionByName(graph.triples_of(e, "NATION_2")).select("head", "relation", "tail", "score").distinct()
 
 
-@query(f"WITH {EDGES_SQL} SELECT head, relation, tail, score FROM edges WHERE tail = 'CHINA' AND relation = 'located_at' UNION ALL SELECT head, relation, tail, score FROM edges WHERE head = 'CHINA'")
+@query(f"WITH {EDGES_SQL} SELECT head, relation, tail, score FROM edges WHERE tail = 'NATION_2' AND relation = 'located_at' UNION ALL SELECT head, relation, tail, score FROM edges WHERE head = 'NATION_2'")
 def g4_in_and_out_edges(spark, d):
     e = commerce_edges(spark, d)
-    return graph.in_edges(e, "CHINA", "located_at").unionByName(graph.out_edges(e, "CHINA"))
+    return graph.in_edges(e, "NATION_2", "located_at").unionByName(graph.out_edges(e, "NATION_2"))
 
 
 @query(f"WITH {EDGES_SQL} SELECT head, relation, tail, score FROM edges WHERE relation = 'part_of'")
@@ -171,9 +171,9 @@ def g5_with_relation(spark, d):
     return graph.with_relation(commerce_edges(spark, d), "part_of")
 
 
-@query(f"WITH {EDGES_SQL} SELECT head, relation, tail, score FROM edges WHERE (head = 'CHINA' AND tail = 'ASIA') OR (head = 'ASIA' AND tail = 'CHINA')")
+@query(f"WITH {EDGES_SQL} SELECT head, relation, tail, score FROM edges WHERE (head = 'NATION_2' AND tail = 'ASIA') OR (head = 'ASIA' AND tail = 'NATION_2')")
 def g6_related(spark, d):
-    return graph.related(commerce_edges(spark, d), "ASIA", "CHINA")
+    return graph.related(commerce_edges(spark, d), "ASIA", "NATION_2")
 
 
 _PATH_EDGES = EDGES_SQL + ", u AS (SELECT head AS a, tail AS b FROM edges WHERE relation <> 'provides' UNION SELECT tail, head FROM edges WHERE relation <> 'provides')"
@@ -335,31 +335,44 @@ def c5_close_matches(spark, d):
     return search.close_matches(graph.entities(commerce_edges(spark, d)), "INDIAN")
 
 
+FORMS = (("请问{}是什么？", "是什么", "DEFINITION"), ("{}在哪", "在哪", "LOCATION"), ("列举{}", "", "LIST_INSTANCE"), ("{}有什么属性", "有什么属性", "PROPERTY"), ("介绍{}", "", "SUMMARY"), ("{}影响什么", "影响什么", "EFFECT"))
+
+
+def _asked(spark, d):
+    """Nations, suppliers, types and names of parts."""
+    n, s, p = (load(spark, d, t) for t in ("nation", "supplier", "part"))
+    return n.select(F.col("n_name").alias("entity")).union(s.select("s_name")).union(p.select("p_type")).union(p.select("p_name")).distinct()
+
+
 def _questions(spark, d):
-    n = load(spark, d, "nation")
-    forms = ["请问{}是什么？", "{}在哪", "列举{}", "{}有什么属性", "介绍{}", "{}影响什么"]
-    each = n.select("n_nationkey", "n_name", F.posexplode(F.array(*(F.lit(f) for f in forms))).alias("k", "form"))
-    return each.select((F.col("n_nationkey") * 10 + F.col("k")).alias("qid"), F.replace("form", F.lit("{}"), F.col("n_name")).alias("question"))
+    forms = F.posexplode(F.array(*(F.lit(f) for f, *_ in FORMS))).alias("k", "form")
+    return _asked(spark, d).select("entity", forms).select(F.concat_ws("-", "entity", "k").alias("qid"), F.replace("form", F.lit("{}"), F.col("entity")).alias("question"))
+
 
+_ASKED = "asked AS (SELECT n_name AS entity FROM nation UNION SELECT s_name FROM supplier UNION SELECT p_type FROM part UNION SELECT p_name FROM part)"
 
-@query("""SELECT n_nationkey * 10 + k AS qid, n_name || ['是什么', '在哪', NULL, '有什么属性', NULL, '影响什么'][k + 1] AS q, ['DEFINITION', 'LOCATION', 'LIST_INSTANCE', 'PROPERTY', 'SUMMARY', 'EFFECT'][k + 1] AS intent FROM nation, unnest([0, 1, 3, 5]) AS u(k)
-UNION ALL SELECT n_nationkey * 10 + 2, '列举' || n_name, 'LIST_INSTANCE' FROM nation UNION ALL SELECT n_nationkey * 10 + 4, '介绍' || n_name, 'SUMMARY' FROM nation""")
+
+@query(f"WITH {_ASKED} " + " UNION ALL ".join(f"SELECT entity || '-{k}' AS qid, '{'列举' if k == 2 else '介绍' if k == 4 else ''}' || entity || '{tail}' AS q, '{kind}' AS intent FROM asked" for k, (_, tail, kind) in enumerate(FORMS)))
 def q1_q2_intents(spark, d):
     q = questions.clean_question(F.col("question"))
     return _questions(spark, d).select("qid", q.alias("q"), questions.intent(q, ZH)["intent"].alias("intent"))
 
 
-@query()
-def q3_q15_retrieval(spark, d):
-    edges = commerce_edges(spark, d)
-    names = load(spark, d, "nation").select(F.col("n_name").alias("entity")).union(load(spark, d, "region").select("r_name"))
-    return questions.retrieve(questions.parse_questions(_questions(spark, d), names), edges)
+@query(f"WITH {_ASKED} SELECT entity || '-' || k AS qid, entity AS first FROM asked, range(0, 6) AS u(k)")
+def q3_entities(spark, d):
+    parsed = questions.parse_questions(_questions(spark, d), _asked(spark, d))
+    return parsed.select("qid", F.get("entities", F.lit(0)).alias("first"))
 
 
-@query(f"""WITH {EDGES_SQL}, e AS (SELECT n_nationkey * 10 + 4 AS qid, head, relation, tail, max(score) AS score FROM nation JOIN edges ON head = n_name OR tail = n_name GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY -score, relation, head, tail) AS k FROM e) SELECT qid, k::INTEGER AS "rank", head, relation, tail, score FROM r WHERE k <= 15""")
-def q12_summary(spark, d):
-    return q3_q15_retrieval(spark, d).where("intent = 'SUMMARY'").drop("intent")
+@query(f"""WITH {EDGES_SQL}, {_ASKED}, e AS (SELECT head, relation, tail, max(score) AS score FROM edges GROUP BY ALL),
+f AS (SELECT entity || '-0' AS qid, 'DEFINITION' AS intent, 8 AS most, e.* FROM asked JOIN e ON head = entity WHERE relation IN ('instance_of', 'is_a')
+UNION ALL SELECT entity || '-1', 'LOCATION', 8, e.* FROM asked JOIN e ON head = entity WHERE relation = 'located_at'
+UNION ALL SELECT entity || '-2', 'LIST_INSTANCE', 15, e.* FROM asked JOIN e ON tail = entity WHERE relation = 'instance_of'
+UNION ALL SELECT entity || '-3', 'PROPERTY', 12, e.* FROM asked JOIN e ON head = entity WHERE relation = 'made_of'
+UNION ALL SELECT entity || '-4', 'SUMMARY', 15, e.* FROM asked JOIN e ON head = entity OR tail = entity),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY -score, relation, head, tail) AS k FROM f) SELECT qid, intent, k::INTEGER AS "rank", head, relation, tail, score FROM r WHERE k <= most""")
+def q4_q12_retrieval(spark, d):
+    return questions.retrieve(questions.parse_questions(_questions(spark, d), _asked(spark, d)), commerce_edges(spark, d))
 
 
 @query()
