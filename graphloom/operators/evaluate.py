@@ -34,7 +34,7 @@ def canonical(triples: DataFrame, aliases: DataFrame | None) -> DataFrame:
     out = triples
     for end in ("head", "tail"):
         out = out.join(aliases.select(F.col("alias").alias(end), F.col("canonical").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    return out
+    return out.select(*triples.columns)
 
 
 def keys(triples: DataFrame, pack: Pack = ZH, aliases: DataFrame | None = None, chapter: str | None = None, include_global: bool = True, exclude: tuple[str, ...] = ()) -> DataFrame:

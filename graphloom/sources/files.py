@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ COLUMNS = {"head": ("head", "头实体", "source", "h"), "relation": ("relation"
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (path) and text of whole files, in the first encoding that fits."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
         def one(b: bytes) -> str:
