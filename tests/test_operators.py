@@ -234,3 +234,22 @@ def test_streams(spark, vocab, tmp_path):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r["n"] for r in spark.table("counts").collect()] == [2]
+
+
+def test_published_scores(spark):
+    """Outcome lists (tp, fp, fn) of a published evaluation, in the folder that OUTCOME_LISTS names, give its scores again."""
+    import os
+    from pathlib import Path
+
+    folder = os.environ.get("OUTCOME_LISTS")
+    if not folder:
+        pytest.skip("no lists")
+    tp, fp, fn = (files.read_triples(spark, str(next(Path(folder).glob(f"*{x}.csv"))), drop_invalid=False).select(*evaluate.KEY) for x in ("tp", "fp", "fn"))
+    pred, gold = tp.union(fp), tp.union(fn)
+    got = {r["level"]: r for r in evaluate.levels(pred, gold).collect()}
+    assert (got["strict"]["tp"], got["strict"]["n_pred"], got["strict"]["n_gold"]) == (437, 539, 734)
+    assert [round(got["strict"][k], 4) for k in ("precision", "recall", "f1")] == [0.8108, 0.5954, 0.6866]
+    assert round(got["pair"]["f1"], 4) == 0.6876 and round(got["entity"]["f1"], 4) == 0.8069
+    assert evaluate.partial_prf(pred, gold, maximum=True).first()["tp"] == 441
+    assert 433 <= evaluate.partial_prf(pred, gold).first()["tp"] <= 441
+    assert round(evaluate.macro_f1(evaluate.by_relation(pred, gold)).first()["macro_f1"], 4) == 0.1527
