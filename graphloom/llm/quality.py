@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, small_batches
 from graphloom.llm.labelmodel import LabelModel, fit, linear
 from graphloom.llm.words import chunks, powers, splitmix, word_hashes, word_spans
 
 SIZE = 1 << 12
 SAMPLE_ROWS = 20_000  # expected size of the sample that the scorer is trained on
 STATS = ("upper", "symbol", "pipe", "shout", "distinct", "top", "repeat", "stop")
+#: Statistics are smoothed with SMOOTH words of usual prose, so that a short text isn't judged by one capital or full stop.
+SMOOTH = 6
+USUAL = {"upper": 0.02, "symbol": 0.025, "distinct": 0.8, "top": 0.06, "stop": 0.09}
 _BINS = np.array([0, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 _U = np.uint64
 
@@ -44,9 +47,9 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     first = np.searchsorted(starts, offsets)
     words = np.diff(first)
     sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
-    letters, chars = np.maximum(sums(_LETTER[raw]), 1), np.maximum(sums(~_SPACE[raw]), 1)
+    letters, chars = sums(_LETTER[raw]) + 5.0 * SMOOTH, sums(~_SPACE[raw]) + 5.0 * SMOOTH
     hashes = word_hashes(raw, starts, ends)
-    some = np.maximum(words, 1)
+    some = words + float(SMOOTH)
     same = np.zeros(len(starts), dtype=bool)
     same[1:] = hashes[1:] == hashes[:-1]
     same[first[:-1][words > 0]] = False
@@ -55,8 +58,9 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     distinct, top = np.zeros(n), np.zeros(n)
     for i in np.flatnonzero(words):
         _, c = np.unique(hashes[first[i] : first[i + 1]], return_counts=True)
-        distinct[i], top[i] = len(c) / words[i], c.max() / words[i]
-    stats = np.stack([sums(_UPPER[raw]) / letters, sums(_SYMBOL[raw]) / chars, sums(raw == ord("|")) / some, np.minimum(1, sums(raw == ord("!")) / some), distinct, top, of_words(same) / some, of_words(ends_line) / some], axis=1)
+        distinct[i], top[i] = len(c), c.max()
+    usual = {k: SMOOTH * x for k, x in USUAL.items()}
+    stats = np.stack([(sums(_UPPER[raw]) + 5 * usual["upper"]) / letters, (sums(_SYMBOL[raw]) + 5 * usual["symbol"]) / chars, sums(raw == ord("|")) / some, np.minimum(1, sums(raw == ord("!")) / some), (distinct + usual["distinct"]) / some, (top + usual["top"]) / some, of_words(same) / some, (of_words(ends_line) + usual["stop"]) / some], axis=1)
     # Shapes: runs of a class within a word count once.
     if len(raw):
         kept = ~_SPACE[raw]
@@ -109,6 +113,7 @@ class QualityModel:
 
 def fit_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> QualityModel:
     """Votes of all documents, the label model, and the scorer trained on posteriors of a sample of about sample_rows."""
+    small_batches(docs.sparkSession)
     rows = max(1, docs.count())
     share = min(1.0, sample_rows / rows)
 
@@ -137,6 +142,7 @@ def fit_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str =
 
 def quality_scores(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (P(high quality)) and keep (score >= 0.5) of each row. Null, empty and blank texts score 0; other columns aren't read."""
+    small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +155,7 @@ def quality_scores(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 def good_documents(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """The rows of docs that the model keeps, with all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
