@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -66,13 +66,14 @@ def steps(edges: DataFrame) -> DataFrame:
     return ahead.union(back).groupBy("u", "v").agg(F.min_by("step", order).alias("step"))
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """seed, entity, depth of all entities within `hops` of each seed(entity), edges taken either way. One join and one anti-join a hop."""
+def frontier(edges: DataFrame, seeds: DataFrame, hops: int, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """seed, entity, depth of all entities within `hops` of each seed(entity), edges taken either way. One join and one anti-join a hop; `cut` may end the lineage of each hop (DataFrame.checkpoint, say), which many hops need."""
     links = edges.select(F.col("head").alias("u"), F.col("tail").alias("v")).union(edges.select("tail", "head")).distinct()
     seen = last = seeds.select(F.col("entity").alias("seed"), F.col("entity"), F.lit(0).alias("depth"))
     for d in range(1, hops + 1):
         near = last.join(links, last["entity"] == links["u"]).select("seed", F.col("v").alias("entity")).distinct()
         last = near.join(seen.select("seed", "entity"), ["seed", "entity"], "left_anti").withColumn("depth", F.lit(d))
+        last = cut(last) if cut else last
         seen = seen.unionByName(last)
     return seen
 
