@@ -10,21 +10,29 @@ import numpy as np
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
-    """Of each suffix, whether it is smaller than its successor; true of the last one."""
+    """Of each suffix, whether it is smaller than its successor; the last one's is empty, so it is not."""
     n = len(text)
     differs = np.flatnonzero(text[1:] != text[:-1])
     rises = text[differs] < text[differs + 1]
     at = np.searchsorted(differs, np.arange(n))
-    return np.append(rises, True)[np.minimum(at, len(differs))]
+    return np.append(rises, False)[np.minimum(at, len(differs))]
 
 
-def suffix_array(text: bytes, depth: int) -> np.ndarray:
-    """Starts of all suffixes in an order that is right for their first `depth` bytes at least."""
+def suffix_array(text: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of all suffixes, or the wanted ones (flags) and those that induce them, in an order that is right for their first `depth` bytes at least."""
     t = np.frombuffer(text, dtype=np.uint8)
     if not len(t):
         return np.zeros(0, dtype=np.int64)
     small = smaller_than_next(t)
-    direct = np.flatnonzero(small)
+    if wanted is None:
+        wanted = np.ones(len(t), dtype=bool)
+    else:  # a larger suffix needs its successors up to one that is sorted directly
+        at = np.arange(len(t))
+        run = np.maximum.accumulate(np.where(small, at, -1))  # the last directly sorted place up to here
+        last = np.maximum.accumulate(np.where(wanted, at, -1))
+        before = np.concatenate([[-1], run[:-1]])
+        wanted = wanted | ((last >= 0) & (before < last))
+    direct = np.flatnonzero(small & wanted)
     direct = direct[np.argsort(t[direct], kind="stable")]
     bound = np.searchsorted(t[direct], np.arange(257))
     pending: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -33,7 +41,7 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
     def induce(found: np.ndarray, c: int) -> np.ndarray:
         """Deals the larger predecessors of sorted suffixes to their buckets; returns those of this bucket."""
         before = found[found > 0] - 1
-        before = before[~small[before]]
+        before = before[~small[before] & wanted[before]]
         first = t[before]
         here = before[first == c]
         rest, first = before[first != c], first[first != c]
@@ -45,6 +53,7 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
                 pending[t[part[0]]].append(part)
         return here
 
+    induce(np.array([len(t)]), -1)
     for c in range(256):
         if pending[c]:
             found = np.concatenate(pending[c])
@@ -56,7 +65,7 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
             own = np.array(sorted(own.tolist(), key=lambda i: text[i : i + depth]), dtype=np.int64)
             out.append(own)
             induce(own, c)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def common_prefixes(text: bytes, suffixes: np.ndarray, most: int) -> np.ndarray:
