@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, cut
+from graphloom.llm.common import WORD, cut, small_batches
 from graphloom.llm.words import chunks, shingles, splitmix, unique_sets
 
 MISS = 1e-4
@@ -90,6 +90,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.
     words). Null, empty and blank texts contain nothing and are in nothing. Rows that repeat identifier and text give
     their pairs once; a null identifier is kept. Empty tables give no rows; other columns aren't read.
     """
+    small_batches(docs.sparkSession)
 
     def item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, small_batches
 from graphloom.llm.graph import components
 from graphloom.llm.runs import group_cuts, group_runs
 
@@ -78,6 +78,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     repeat a vec_id are rows of their own in n_links, and one in components. A null vec_id counts as a link, has the
     component of its vector's copies, and is never kept. An empty table gives no rows.
     """
+    small_batches(vectors.sparkSession)
     real = F.col(vec_col).cast("array<double>")
     finite = ~F.exists(real, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(real, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), real.alias("v"), F.coalesce(finite, F.lit(False)).alias("ok"))

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import small_batches
 from graphloom.llm.toxicity import _AS_SPACE, held_out
 from graphloom.llm.words import _BYTE, chunks, powers, splitmix, word_spans
 
@@ -191,6 +192,7 @@ def training_spans(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str,
 
 def languages(docs: DataFrame, model: Crf) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row; `und` with score 0 for null texts and texts without a letter (or without a learned language). A null doc_id isn't held out."""
+    small_batches(docs.sparkSession)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, "und"], dtype=object)

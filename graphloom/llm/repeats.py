@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, small_batches
 from graphloom.llm.suffixes import common_prefixes, suffix_array
 from graphloom.llm.words import chunks, powers, splitmix
 
 K = 128
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+ANCHOR_BYTES = 256 << 10  # of text winnowed at once: work arrays of 8 bytes a byte stay in cache
 BLOCK_SEGMENTS = 8_000
 _U = np.uint64
 _RAW = splitmix(np.arange(256, dtype=np.uint64) + _U(4000))
@@ -91,7 +92,10 @@ def covered(block: list[bytes], places: list[tuple], least: int) -> list[list[tu
     text = b"\xff".join(block) + b"\xff"  # no byte of UTF-8
     size = np.array([len(x) for x in block])
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    suffixes = suffix_array(text, least)
+    starts = np.zeros(len(text) + 1, dtype=np.int64)  # of strings that lie within a segment
+    np.add.at(starts, begin, 1)
+    np.add.at(starts, begin + np.maximum(size - least + 1, 0), -1)
+    suffixes = suffix_array(text, least, np.cumsum(starts[:-1]) > 0)
     shared = common_prefixes(text, suffixes, least) >= least
     segment = np.searchsorted(begin, suffixes, side="right") - 1
     inside = suffixes - begin[segment]
@@ -151,12 +155,13 @@ def repeated_passages(docs: DataFrame, least: int = 400, id_col: str = "doc_id",
     included. Null text is empty; texts under `least` bytes lose nothing; rows that repeat are copies of one another;
     an empty table gives no rows; other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     k = min(K, max(1, least // 3))
     keyed = _keyed(docs, id_col, text_col)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, raw, offsets in chunks(batch.column(3), 1 << 20):
+            for a, b, raw, offsets in chunks(batch.column(3), ANCHOR_BYTES):
                 text, at, h, lo, hi, s = anchors(raw, offsets, least, k)
                 rows = batch.slice(a, b - a).take(pa.array(text))
                 yield pa.record_batch([*rows.columns[:3], pa.array(h.view(np.int64)), pa.array(at), pa.array(s.view(np.int64))], names=[*KEY, "h", "at", "s"])

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WIDTH = 5
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -36,7 +36,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of _STEP and of its inverse, modulo 2 ** 64."""
     if not _powers or len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + 1)
+        n = 1 << (n - 1).bit_length()
         out = []
         for base in (_STEP, pow(_STEP, -1, 1 << 64)):
             p = np.full(n, base, dtype=np.uint64)
