@@ -23,7 +23,8 @@ from pyspark.sql import Window as W
 from graphloom.llm.common import WORD, cut
 
 UNIT = 1 << 30
-PART_ROWS = 50_000
+PART_ROWS = 20_000
+STEPS_A_JOB = 4
 
 
 def text_size(text: str = "text") -> Column:
@@ -51,6 +52,23 @@ def source_targets(cells: DataFrame, weights: Sequence[float], share: float, cap
     return first.select("src", "source", "source_size", "docs", F.when(F.col("at").isNull(), F.col("most")).otherwise(F.least("most", F.col("weight") * F.col("at"))).alias("target"))
 
 
+def _newton_step(state: DataFrame, hist: DataFrame, cap: float, tolerance: float) -> DataFrame:
+    """One step for every source: its words and their slope at lam over all documents, then Newton's lam, or the middle of the bracket."""
+    z = F.col("size") / F.col("scale")
+    tilt = F.exp(F.col("lam") * z)
+    words = F.col("n") * F.col("size")
+    exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
+    sums = hist.join(state.select("src", "lam", "scale"), "src").groupBy("src").agg(exact(words * F.least(F.lit(float(cap)), tilt)).alias("f"), exact(F.when(tilt < cap, words * z * tilt).otherwise(F.lit(0.0))).alias("slope"))
+    step = state.join(sums, "src", "left").withColumns({"f": F.coalesce("f", F.lit(0.0)), "slope": F.coalesce("slope", F.lit(0.0))})
+    gap = F.when(F.col("full") | (F.col("source_size") == 0), 0.0).otherwise((F.col("f") - F.col("target")) / F.greatest("target", F.lit(1.0)))
+    under = F.col("f") < F.col("target")
+    newton = F.when(F.col("slope") > 0, F.col("lam") - (F.col("f") - F.col("target")) / F.col("slope"))
+    step = step.withColumns({"gap": gap, "low": F.when(under, F.col("lam")).otherwise(F.col("lo")), "high": F.when(under, F.col("hi")).otherwise(F.col("lam")), "newton": newton})
+    inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
+    moved = F.when(F.abs("gap") <= tolerance, F.col("lam")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
+    return step.select("src", "source_size", "target", "scale", "full", moved.alias("lam"), F.col("low").alias("lo"), F.col("high").alias("hi"), "gap")
+
+
 def tilts(cells: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-9, most_steps: int = 60) -> DataFrame:
     """One row per source with lam and scale, by distributed Newton steps on the dual; `full` marks sources at their cap."""
     hist = cut(cells.where("size > 0").groupBy("src", "size").agg(F.sum("n").alias("n")), "mix-sizes")
@@ -58,36 +76,26 @@ def tilts(cells: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1
     state = sources.select("src", "source_size", "target", scale.alias("scale"), (F.col("target") >= F.lit(cap) * F.col("source_size") * (1 - 1e-12)).alias("full"))
     state = state.withColumns({"lam": F.lit(0.0), "lo": F.lit(-50.0) * F.col("scale"), "hi": F.lit(cap).cast("double")})
     state = cut(state.withColumn("hi", F.log("hi") * F.col("scale")), "mix-dual")
-    for _ in range(most_steps):
-        z = F.col("size") / F.col("scale")
-        tilt = F.exp(F.col("lam") * z)
-        words = F.col("n") * F.col("size")
-        exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
-        sums = hist.join(state.select("src", "lam", "scale"), "src").groupBy("src").agg(exact(words * F.least(F.lit(float(cap)), tilt)).alias("f"), exact(F.when(tilt < cap, words * z * tilt).otherwise(F.lit(0.0))).alias("slope"))
-        step = state.join(sums, "src", "left").withColumns({"f": F.coalesce("f", F.lit(0.0)), "slope": F.coalesce("slope", F.lit(0.0))})
-        gap = F.when(F.col("full") | (F.col("source_size") == 0), 0.0).otherwise((F.col("f") - F.col("target")) / F.greatest("target", F.lit(1.0)))
-        low, high = F.when(F.col("f") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), F.when(F.col("f") < F.col("target"), F.col("hi")).otherwise(F.col("lam"))
-        newton = F.col("lam") - (F.col("f") - F.col("target")) / F.col("slope")
-        step = step.withColumns({"gap": gap, "low": low, "high": high, "newton": F.when(F.col("slope") > 0, newton)})
-        inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
-        moved = F.when(F.abs("gap") <= tolerance, F.col("lam")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
-        state = cut(step.select("src", "source_size", "target", "scale", "full", moved.alias("lam"), F.col("low").alias("lo"), F.col("high").alias("hi"), "gap"), "mix-dual")
-        worst = state.agg(F.max(F.abs("gap")).alias("x")).first()["x"]
-        state = state.drop("gap")
-        if worst is None or worst <= tolerance:
-            break
+    for k in range(most_steps):
+        state = _newton_step(state, hist, cap, tolerance)
+        if k % STEPS_A_JOB == STEPS_A_JOB - 1:
+            state = cut(state, "mix-dual")
+            worst = state.agg(F.max(F.abs("gap")).alias("x")).first()["x"]
+            if worst is None or worst <= tolerance:
+                break
     return state.select("src", "full", "scale", F.round("lam", 9).alias("lam"))
 
 
 def _before(df: DataFrame, keys: Sequence[str], part: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """With `before`: the sum of value over earlier rows of the same keys, by part and then order, in two levels."""
+    df = df.repartition(*keys, *part)  # else a join on keys alone would leave a source in one task
     sums = df.groupBy(*keys, *part).agg(F.sum(value).alias("of_part"))
     base = sums.select(*keys, *part, F.coalesce(F.sum("of_part").over(W.partitionBy(*keys).orderBy(*part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     own = F.coalesce(F.sum(value).over(W.partitionBy(*keys, *part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("own", own).join(base, [*keys, *part]).withColumn("before", F.col("base") + F.col("own")).drop("own", "base")
 
 
-def mix_cells(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", passes: int = 4) -> DataFrame:
+def mix_cells(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", passes: int = 3) -> DataFrame:
     """Copies for each cell of equal documents: doc_id, h (hash of text), source, size, n (rows), source_size, target, rate, copies (of all n).
 
     Null text has size 0 and null is a source of its own; documents without words get rate 1 and no words are
@@ -127,9 +135,9 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, all columns kept."""
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    cells = mix_cells(docs, **how).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("h").alias("mix_h"), F.col("source").alias("mix_source"), "copies", "n")
+    cells = mix_cells(docs, **how).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("h").alias("mix_h"), F.col("source").alias("mix_source"), F.col("copies").alias("mix_copies"), F.col("n").alias("mix_n"))
     hashed = docs.withColumn("mix_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     same = hashed[id_col].eqNullSafe(F.col("mix_id")) & (F.col("mix_hash") == F.col("mix_h")) & hashed[how.get("source_col", "source")].eqNullSafe(F.col("mix_source"))
-    once = hashed.join(cells.where("n = 1"), same)
-    again = hashed.join(cells.where("n > 1"), same).dropDuplicates(["mix_id", "mix_h", "mix_source"])
-    return once.unionByName(again).withColumn("mix_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    once = hashed.join(cells.where("mix_n = 1"), same)
+    again = hashed.join(cells.where("mix_n > 1"), same).dropDuplicates(["mix_id", "mix_h", "mix_source"])
+    return once.unionByName(again).withColumn("mix_k", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
