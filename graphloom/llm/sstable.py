@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.llm.common import fresh_path, sized_partitions
+from graphloom.llm.common import fresh_path, sized_partitions, small_batches
 from graphloom.llm.words import chunks
 
 MAGIC = b"GLSST001"
@@ -44,8 +44,8 @@ INDEX = struct.Struct("<QII")
 BLOCK_BYTES = 64 << 10
 SHARD_TEXT_BYTES = 16 << 20
 BLOOM_BITS = 10
-SLICE_BYTES = 12 << 20  # of text encoded at once
-CACHE_PIECES = 500_000  # twice as many are held: those seen lately and those before
+SLICE_BYTES = 5 << 20  # of text encoded at once
+CACHE_PIECES = 220_000  # twice as many are held: those seen lately and those before
 
 _UNSAFE = r"[\s\p{Z}\x{85}\x1c-\x1f] "
 _loaded: dict[str, "PieceEncoder"] = {}
@@ -292,6 +292,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     The only shuffle deals texts by range of (identifier, hash of text), so a frequent identifier is split too.
     Other columns aren't read. An empty table leaves no shard.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
