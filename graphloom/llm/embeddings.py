@@ -2,10 +2,13 @@
 
 1. Equal vectors are one class with a weight.
 2. On a bounded sample of classes: principal axes of the unit vectors, and rotations of them (as many as the
-   tables need bits) that bring each axis close to its sign (iterative quantisation), so bits are balanced.
+   tables need bits) that bring each axis close to its sign (iterative quantisation).
 3. Every class is coded; its code is cut into m substrings, one table each. Two codes that differ in fewer than m
    bits share a substring for sure; at the threshold a bit differs with probability angle / pi, from which m follows
-   for the wanted recall. Substrings have about log2(n / 64) bits, so buckets keep their size as n grows.
+   for the wanted recall. That holds for angles seen from the origin, so the unit vectors themselves are coded: seen
+   from their mean, near vectors with a common direction are far apart. Substrings have about log2(n / 64) bits, so
+   buckets keep their size as n grows; a strong common direction makes them larger. Up to CHUNK classes are one
+   bucket, so all pairs are compared.
 4. Buckets over CHUNK classes are dealt out as pairs of chunks. Each block is one matrix product of original vectors
    in double precision. A pair counts only in the first table where it meets. A block gives link counts and a
    spanning forest of its links, never all pairs.
@@ -31,8 +34,8 @@ CHUNK = 2_048
 BUCKET = 64
 
 
-def fit_rotations(x: np.ndarray, rotations: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of unit vectors x and the projection (columns: bits of all rotations)."""
+def fit_rotations(x: np.ndarray, rotations: int, rounds: int = 40) -> np.ndarray:
+    """The projection (columns: bits of all rotations), fitted on unit vectors x about their mean."""
     mean = x.mean(axis=0)
     _, _, axes = np.linalg.svd(x - mean, full_matrices=False)
     v = (x - mean) @ axes.T
@@ -44,11 +47,13 @@ def fit_rotations(x: np.ndarray, rotations: int, rounds: int = 40) -> tuple[np.n
             u, _, w = np.linalg.svd(b.T @ v)
             r = (u @ w).T
         out.append(axes.T @ r)
-    return mean, np.concatenate(out, axis=1)
+    return np.concatenate(out, axis=1)
 
 
 def tables_for(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a substring, tables)."""
+    """(bits of a substring, tables); no bits and one table where all pairs fit one block."""
+    if n <= CHUNK:
+        return 0, 1
     bits = min(62, max(4, round(log2(max(n, 2) / BUCKET))))
     meet = (1 - acos(threshold) / pi) ** bits
     return bits, ceil(log(1 - recall) / log(1 - meet))
@@ -99,16 +104,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     return mine.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _one_length(classes: DataFrame, d: int, threshold: float, recall: float, sample: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n) link counts and (a, b) spanning links of the classes with d components."""
-    n = classes.count()
-    bits, tables = tables_for(n, threshold, recall)
+def _fitted(classes: DataFrame, n: int, d: int, rotations: int, sample: int) -> np.ndarray:
+    """fit_rotations on about `sample` of the n classes with d components."""
     share = min(1.0, sample / max(1, n))
     picked = classes.where(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < F.lit(ceil(share * (1 << 20)))).select("a", "v").orderBy("a").limit(2 * sample).collect()
     x = np.array([r["v"] for r in picked], dtype=float).reshape(-1, d)
     x /= np.abs(x).max(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    mean, projection = fit_rotations(x if len(x) else np.eye(d), ceil(bits * tables / d))
+    return fit_rotations(x if len(x) else np.eye(d), rotations)
+
+
+def _one_length(classes: DataFrame, d: int, threshold: float, recall: float, sample: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n) link counts and (a, b) spanning links of the classes with d components."""
+    n = classes.count()
+    bits, tables = tables_for(n, threshold, recall)
+    projection = _fitted(classes, n, d, ceil(bits * tables / d), sample) if bits else np.zeros((d, 0))
     place = np.int64(1) << np.arange(bits, dtype=np.int64)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +126,8 @@ def _one_length(classes: DataFrame, d: int, threshold: float, recall: float, sam
             v = batch.column(2).flatten().to_numpy().reshape(-1, d)
             u = v / np.abs(v).max(axis=1, keepdims=True)
             u /= np.linalg.norm(u, axis=1, keepdims=True)
-            b = (u - mean) @ projection >= 0
-            # A vector's bits may run out before the last table: bits wrap round.
-            keys = np.stack([b[:, np.arange(t * bits, (t + 1) * bits) % b.shape[1]] @ place for t in range(tables)], axis=1)
+            b = u @ projection >= 0
+            keys = np.stack([b[:, t * bits : (t + 1) * bits] @ place for t in range(tables)], axis=1)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in v], pa.binary()), pa.ListArray.from_arrays(pa.array((np.arange(len(v) + 1) * tables).astype(np.int32)), pa.array(keys.ravel()))], names=["id", "w", "v", "keys"])
 
     coded = cut(classes.select("id", "w", "v").mapInArrow(code, "id long, w long, v binary, keys array<long>"), "codes")

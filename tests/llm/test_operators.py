@@ -156,6 +156,24 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_with_a_common_direction(spark):
+    from graphloom.llm.embeddings import CHUNK, near_vectors
+
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(CHUNK, 64)) + 1.6)
+    side = rng.normal(size=base.shape)
+    side = unit(side - (side * base).sum(axis=1, keepdims=True) * base)
+    x = np.concatenate([base, 0.92 * base + (1 - 0.92**2) ** 0.5 * side])
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert np.linalg.norm(unit(x).mean(axis=0)) > 0.8 and links.sum() >= 2 * CHUNK
+    df = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df(x)).collect()}
+    assert sum(got.values()) >= 0.97 * links.sum() and all(got[i] <= n for i, n in enumerate(links))
+    few = np.concatenate([x[:100], x[CHUNK : CHUNK + 100]])  # all pairs are compared
+    assert [r["n_links"] for r in near_vectors(df(few)).orderBy("vec_id").collect()] == ((few @ few.T >= 0.9).sum(axis=1) - 1).tolist()
+
+
 def test_entropy_mix(spark, docs):
     from graphloom.llm.mixing import mix_report, mixed_documents
 
