@@ -116,25 +116,31 @@ def fit_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str =
     small_batches(docs.sparkSession)
     rows = max(1, docs.count())
     share = min(1.0, sample_rows / rows)
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    # Of a text's copies its share is in the sample, rounded up or down by its hash: about sample_rows in all.
+    due = F.col("count") * F.lit(share)
+    picks = texts.groupBy("h").count().select("h", (F.floor(due) + (F.pmod("h", F.lit(1 << 52)) / F.lit(float(1 << 52)) < due - F.floor(due)).cast("long")).alias("m")).where("m > 0")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picked = batch.column(1).to_numpy(zero_copy_only=False)
+            picked = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            once = np.zeros(len(picked), dtype=bool)  # one of equal texts will do
+            once[np.unique(batch.column(1).to_numpy(), return_index=True)[1]] = True
             for a, b, raw, offsets in chunks(batch.column(0)):
                 words, stats, features = statistics(raw, offsets)
                 code = labellers(words, stats) @ (3 ** np.arange(VOTERS))
-                mine = picked[a:b] & (words > 0)
-                yield pa.record_batch([pa.array(code), pa.array([ix.tobytes() if p else None for (ix, _), p in zip(features, mine, strict=True)], pa.binary()), pa.array([x.tobytes() if p else None for (_, x), p in zip(features, mine, strict=True)], pa.binary())], names=["code", "ix", "x"])
+                mine = (picked & once)[a:b] & (words > 0)
+                yield pa.record_batch([pa.array(code), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([ix.tobytes() if p else None for (ix, _), p in zip(features, mine, strict=True)], pa.binary()), pa.array([x.tobytes() if p else None for (_, x), p in zip(features, mine, strict=True)], pa.binary())], names=["code", "h", "m", "ix", "x"])
 
-    picks = (F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).alias("picked")
-    voted = cut(docs.select(F.col(text_col), picks).mapInArrow(vote, "code long, ix binary, x binary"), "votes")
+    voted = cut(texts.join(F.broadcast(picks), "h", "left").select("text", "h", "m").mapInArrow(vote, "code long, h long, m long, ix binary, x binary"), "votes")
     found = voted.groupBy("code").count().orderBy("code").collect()  # at most 3 ** VOTERS rows
     codes, counts = np.array([r["code"] for r in found], dtype=np.int64), np.array([r["count"] for r in found], dtype=float)
     patterns = codes[:, None] // 3 ** np.arange(VOTERS) % 3
     lows, highs = (patterns == LOW).sum(axis=1), (patterns == HIGH).sum(axis=1)
     first = np.where(lows > 0, 0.1 ** np.minimum(lows, 3) * (1 + highs), 0.6 + 0.1 * highs)
     model = fit(patterns, counts, np.clip(first, 0.001, 0.95), 3) if len(codes) else LabelModel(np.array([0.5, 0.5]), [], [])
-    sample = voted.where("ix is not null").orderBy("code", "ix", "x").limit(2 * sample_rows).collect() if len(codes) else []
+    sample = voted.where("ix is not null").dropDuplicates(["h"]).orderBy("h").collect() if len(codes) else []
+    sample = [r for r in sample for _ in range(r["m"])]
     target = model.posterior(np.array([r["code"] for r in sample], dtype=np.int64)[:, None] // 3 ** np.arange(VOTERS) % 3) if sample else np.zeros(0)
     weights, bias = linear([np.frombuffer(r["ix"], dtype=np.int32) for r in sample], [np.frombuffer(r["x"], dtype=np.float32) for r in sample], target, SIZE)
     return QualityModel(model, weights.astype(np.float32), bias)

@@ -239,6 +239,19 @@ def test_quality(spark, docs):
     assert quality_scores(docs, fit_quality(docs)).count() == docs.count()
 
 
+def test_quality_with_a_common_junk_text(spark):
+    from graphloom.llm.quality import fit_quality, quality_scores
+
+    rng = random.Random(6)
+    vocab = [f"{a}{b}" for a in "bcdfgt" for b in ("ale", "ondo", "ip", "umba", "ees")]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n)).capitalize() + "."
+    good = [" ".join(prose(12) for _ in range(6)) for _ in range(1000)]
+    junk = spark.createDataFrame([(f"BUY NOW {k}!! " * 30,) for k in range(400)], "text string").orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 20))).first()["text"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + [junk] * 500)], "doc_id long, text string").repartition(3)
+    keep = {r["doc_id"]: r["keep"] for r in quality_scores(df, fit_quality(df, sample_rows=200)).collect()}
+    assert sum(keep[i] for i in range(1000)) >= 980 and not any(keep[i] for i in range(1000, 1500))
+
+
 def test_decontamination(spark, docs, texts):
     from graphloom.llm.decontam import contained_items, decontaminated
 
