@@ -92,6 +92,7 @@ def evaluate_graph(pred: DataFrame, gold: DataFrame, pack: Pack = ZH, aliases: D
 
 def answer(asked: DataFrame, edges: DataFrame, sentences: DataFrame | None = None, pack: Pack = ZH, rewrite: Callable[[str], str] | None = None) -> DataFrame:
     """asked(qid, question) to (qid, answer), all questions at once."""
+    edges = edges.persist()  # look-ups and paths name them many times: the plan would hold each
     parsed = questions.parse_questions(asked, merge.entities(edges), pack).persist()
     rows = questions.retrieve(parsed, edges)
     quotes = questions.evidence(parsed, sentences) if sentences is not None else None

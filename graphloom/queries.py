@@ -379,7 +379,7 @@ def q4_q12_retrieval(spark, d):
 def q16_answers(spark, d):
     from graphloom.plans.extraction import answer
 
-    return answer(_questions(spark, d), commerce_edges(spark, d).where("relation <> 'provides'"), load(spark, d, "documents").select(F.col("doc_id").alias("sid"), "text"))
+    return answer(_questions(spark, d), commerce_edges(spark, d), load(spark, d, "documents").select(F.col("doc_id").alias("sid"), "text"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS \"start\", event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")

@@ -169,6 +169,35 @@ def test_answers(spark):
     assert got[3].startswith("No entity") and got[4].startswith("Nothing")
 
 
+def test_answers_over_the_whole_commerce_graph(spark, tmp_path):
+    from graphloom import queries
+
+    nations = {k: f"NATION_{k}" for k in range(2)}
+    suppliers = {k: (f"Supplier{k}", k % 2) for k in range(3)}
+    parts = {k: (f"partname{k}", f"TYPE{k % 2}", f"Brand{k % 3}") for k in range(4)}
+    items = [(s, p) for s in suppliers for p in parts for _ in range((s + p) % 3)] + [(0, 1)] * 5
+    tables = {
+        "region": ([(0, "ASIA")], "r_regionkey long, r_name string"),
+        "nation": ([(k, n, 0) for k, n in nations.items()], "n_nationkey long, n_name string, n_regionkey long"),
+        "customer": ([(1, "Customer1", 0)], "c_custkey long, c_name string, c_nationkey long"),
+        "supplier": ([(k, *s) for k, s in suppliers.items()], "s_suppkey long, s_name string, s_nationkey long"),
+        "part": ([(k, *p) for k, p in parts.items()], "p_partkey long, p_name string, p_type string, p_brand string"),
+        "lineitem": (items, "l_suppkey long, l_partkey long"),
+        "documents": ([(1, "nothing of note")], "doc_id long, text string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    edges = [(n, "part_of", "ASIA", 1.0) for n in nations.values()] + [("Customer1", "located_at", nations[0], 0.9)]
+    edges += [(s, "located_at", nations[n], 0.8) for s, n in suppliers.values()]
+    edges += [e for p, t, b in parts.values() for e in ((p, "instance_of", t, 0.7), (p, "made_of", b, 0.6))]
+    edges += [(suppliers[s][0], "provides", parts[p][0], min(1.0, 0.25 * items.count((s, p)))) for s, p in set(items)]
+    got = {r["qid"]: r["answer"] for r in queries.q16_answers(spark, str(tmp_path)).collect()}
+    for name in [*nations.values(), *(s for s, _ in suppliers.values()), *(x for p, t, _ in parts.values() for x in (p, t))]:
+        mine = sorted((e for e in edges if name in (e[0], e[2])), key=lambda e: (-e[3], e[1], e[0], e[2]))
+        assert got[f"{name}-4"].split("\n") == [f"SUMMARY: {name}", *(f"- {h} {r} {t} ({x:.2f})" for h, r, t, x in mine[:12])]
+    assert "provides" in got["Supplier0-4"]
+
+
 def test_curation(spark):
     pred, gold = triples(spark, ("连杆", "r", "机翼"), ("翼", "r", "机翼")), triples(spark, ("大连杆", "r", "机翼"), ("x", "s", "y"))
     assert {tuple(r) for r in curate.align_gold(gold, pred).collect()} == {("连杆", "r", "机翼"), ("x", "s", "y")}
