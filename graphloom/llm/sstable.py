@@ -22,21 +22,20 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.llm.common import fresh_path, sized_partitions, small_batches
-from graphloom.llm.words import chunks
+from graphloom.llm.pieces import encoder
 
 MAGIC = b"GLSST001"
 FOOTER = struct.Struct("<8sIIQQQQQQI")  # magic, shard, id width, docs, tokens, index at/len, bloom at/len, hashes
@@ -44,114 +43,6 @@ INDEX = struct.Struct("<QII")
 BLOCK_BYTES = 64 << 10
 SHARD_TEXT_BYTES = 16 << 20
 BLOOM_BITS = 10
-SLICE_BYTES = 5 << 20  # of text encoded at once
-CACHE_PIECES = 220_000  # twice as many are held: those seen lately and those before
-
-_UNSAFE = r"[\s\p{Z}\x{85}\x1c-\x1f] "
-_loaded: dict[str, "PieceEncoder"] = {}
-
-
-class PieceEncoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library, remembering pieces between spaces.
-
-    The pre-tokenizer never joins a character that isn't white space with a space after it, so a text may be
-    encoded in pieces that each begin with one space. Texts in which white space precedes a space are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.tok.model._resize_cache(0)  # ours holds what repeats
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        top = max(vocab.values(), default=0)
-        self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
-        self.space = np.zeros(top + 1, dtype=bool)
-        self.space[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.pieces = self._splits()
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _splits(self) -> bool:
-        probe = "ab cd's 12 .. é\nx ñ"
-        cut = [p if k == 0 else " " + p for k, p in enumerate(probe.split(" "))]
-        return sum((self._ids(p) for p in cut), []) == self._ids(probe) and len(self._ids(" ")) == 1 and bool(self.space[self._ids(" a")[0]])
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self._ids(text), dtype=self.dtype).tobytes()
-
-    def _learn(self, missing: list[str]) -> None:
-        older, unseen = self.older, []
-        for p in missing:
-            if (ids := older.get(p)) is None:
-                unseen.append(p)
-            else:
-                self.cache[p] = ids
-        plain = [p for p in unseen if p and not p[-1].isspace() and not p[0].isspace()]
-        if len(plain) < len(unseen):
-            for p in set(unseen).difference(plain):
-                self.cache[p] = self._one(" " + p)
-        width = self.dtype.itemsize
-        for k in range(0, len(plain), 64):
-            some = plain[k : k + 64]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            starts = np.flatnonzero(self.space[ids])
-            if len(starts) != len(some):
-                for p in some:
-                    self.cache[p] = self._one(" " + p)
-                continue
-            raw, at = ids.tobytes(), [*(starts * width).tolist(), len(ids) * width]
-            for j, p in enumerate(some):
-                self.cache[p] = raw[at[j] : at[j + 1]]
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text; null is as empty."""
-        texts = pc.fill_null(texts, "")
-        n = len(texts)
-        unsafe = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False) if self.pieces else np.ones(n, dtype=bool)
-        out: list[np.ndarray | None] = [None] * n
-        for i in np.flatnonzero(unsafe):
-            out[i] = np.frombuffer(self._one(texts[int(i)].as_py()), dtype=self.dtype)
-        safe = np.flatnonzero(~unsafe)
-        if not len(safe):
-            return out
-        parts = pc.split_pattern(texts.take(pa.array(safe)) if len(safe) < n else texts, " ")
-        offsets = parts.offsets.to_numpy()
-        flat = parts.flatten()
-        coded = flat.dictionary_encode()
-        keys = coded.dictionary.to_pylist()
-        got = list(map(self.cache.get, keys))
-        if missing := [k for k, ids in zip(keys, got, strict=True) if ids is None]:
-            self._learn(missing)
-            got = list(map(self.cache.__getitem__, keys))
-            if len(self.cache) > CACHE_PIECES:
-                self.older, self.cache = self.cache, {}
-        first = coded.indices.to_numpy()
-        offsets = offsets - offsets[0]
-        heads = [self._one(p) for p in flat.take(pa.array(offsets[:-1])).to_pylist()]  # no space before these
-        width = self.dtype.itemsize
-        size = np.fromiter(map(len, got), dtype=np.int32, count=len(got)) // width
-        pool, pool_at = np.frombuffer(b"".join(got), dtype=self.dtype), np.cumsum(size, dtype=np.int32) - size
-        length, src = size[first], pool_at[first]
-        length[offsets[:-1]] = 0
-        end = np.cumsum(length, dtype=np.int32)
-        ids = pool[np.arange(end[-1], dtype=np.int32) + np.repeat(src - (end - length), length)]
-        bound = np.concatenate([[0], end])[offsets]
-        for j, i in enumerate(safe):
-            body = ids[bound[j] : bound[j + 1]]
-            out[i] = np.concatenate([np.frombuffer(heads[j], dtype=self.dtype), body])
-        return out
-
-
-def encoder(path: str) -> PieceEncoder:
-    if path not in _loaded:
-        _loaded[path] = PieceEncoder(path)
-    return _loaded[path]
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -305,11 +196,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         shard = None
         for batch in batches:
             shard = shard or ShardWriter(TaskContext.get().partitionId(), enc.dtype.itemsize)
-            for a, b, _, _ in chunks(batch.column(1), SLICE_BYTES):
-                part = batch.slice(a, b - a)
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
-                    for raw in shard.add(doc_id, ids.tobytes() + end):
-                        yield pa.record_batch({"value": pa.array([raw], pa.binary())})
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                for raw in shard.add(doc_id, ids.tobytes() + end):
+                    yield pa.record_batch({"value": pa.array([raw], pa.binary())})
         for raw in shard.finish() if shard and shard.docs else ():
             yield pa.record_batch({"value": pa.array([raw], pa.binary())})
 
@@ -338,6 +227,44 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(read, "shard long, k long, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
+def shard_directory(spark: SparkSession, path: str) -> DataFrame:
+    """One row per shard: shard, file, first and last key (bytes, in key order), docs, tokens. A lookup opens those shards only whose range holds its key."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, item in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = item.as_py()
+                shard = ShardReader(lambda at, n, raw=raw: raw[at : at + n], len(raw))
+                last = b""
+                for last, _ in shard.block(len(shard.index) - 1):
+                    pass
+                yield pa.record_batch([pa.array([x], t) for x, t in ((shard.shard, pa.int64()), (file, pa.string()), (shard.index[0][0], pa.binary()), (last, pa.binary()), (shard.docs, pa.int64()), (shard.tokens, pa.int64()))], names=["shard", "file", "first", "last", "docs", "tokens"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
+    return files.mapInArrow(look, "shard long, file string, first binary, last binary, docs long, tokens long")
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: Sequence[int | None], directory: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ids) of every stored document with one of some identifiers (a list in memory): a row each. directory: shard_directory(), kept as a table by those who look up often."""
+    keys = sorted({key_of(x) for x in doc_ids})
+    directory = shard_directory(spark, path) if directory is None else directory
+    held = reduce(lambda a, k: a | ((F.col("first") <= F.lit(k)) & (F.col("last") >= F.lit(k))), keys, F.lit(False))
+    files = [r["file"] for r in directory.where(held).select("file").collect()]  # as many as the identifiers lie in
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item in batch.column(0):
+                raw = item.as_py()
+                shard = ShardReader(lambda at, n, raw=raw: raw[at : at + n], len(raw))
+                for key in keys:
+                    for ids in shard.get(id_of(key)):
+                        yield pa.record_batch([pa.array([id_of(key)], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    if not files:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    return spark.read.format("binaryFile").load(files).select("content").mapInArrow(find, "doc_id long, ids array<long>")
+
+
 def token_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2) -> DataFrame:
     """Write shards (to a fresh shared folder unless path is given) and read them back.
 

@@ -54,7 +54,7 @@ def test_token_shards_round_trip(spark, docs, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from graphloom.llm.sstable import ShardReader, token_shards
+    from graphloom.llm.sstable import ShardReader, lookup, shard_directory, token_shards
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
@@ -80,9 +80,32 @@ def test_token_shards_round_trip(spark, docs, tmp_path):
             found += shard.get(3)
             assert shard.get(10**9) == []
     assert len(found) == 3
+    directory = shard_directory(spark, str(tmp_path / "shards")).orderBy("shard").collect()
+    assert sum(r["docs"] for r in directory) == len(got) and all(a["last"] <= b["first"] for a, b in zip(directory, directory[1:]))
+    assert [r["doc_id"] for r in lookup(spark, str(tmp_path / "shards"), [3, None, 10**9]).orderBy("doc_id").collect()] == [None, None, 3, 3, 3]
+    assert lookup(spark, str(tmp_path / "shards"), []).count() == 0
     assert token_shards(docs.limit(0), path).count() == 0
 
 
+def test_piece_encoder_gives_the_ids_of_the_library(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from graphloom.llm import pieces
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(8)
+    parts = [" ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "The", "don't", "'s", "'ll", "'", '"', ",", "...", "(", "12", "é", "ß", "–", "\u3000", "\u00a0", "\u2003", "中", "🙂", "<|endoftext|>", "x" * 70, "_", "\x00", "\x1c", "\x85", "A1b2", "::"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, ""]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for window, most in ((4 << 20, 1 << 20), (64, 1 << 20), (700, 50)):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        monkeypatch.setattr(pieces, "MOST_PIECES", most)
+        enc = pieces.PieceEncoder(path)
+        assert [x.tolist() for k in range(0, len(texts), 500) for x in enc.encode(pa.array(texts[k : k + 500], pa.string()))] == want
+
+
 def test_repeated_passages(spark, docs):
     from graphloom.llm.repeats import repeated_passages
 
@@ -255,7 +278,7 @@ def test_quality_with_a_common_junk_text(spark):
 def test_decontamination(spark, docs, texts):
     from graphloom.llm.decontam import contained_items, decontaminated
 
-    w = texts[-16].split(" ")
+    w = texts[-18].split(" ")
     items = [(1, " ".join(w[100:130])), (2, " ".join(w[5000:5040]).upper()), (3, "never seen before at all in any text here"), (4, None), (5, ""), (6, "one"), (7, texts[10]), (7, texts[11]), (None, texts[12]), (9, " ".join(w[200:230] + ["new"] * 3)), (10, " ".join(w[:9000]))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("set", F.lit(1))
     want = set()
@@ -377,7 +400,7 @@ def test_toxicity(spark):
 def test_pipeline_stages(spark, docs, texts, tmp_path):
     import corpus_pipeline
 
-    w = texts[-16].split(" ")
+    w = texts[-18].split(" ")
     spark.createDataFrame([(1, " ".join(w[100:130]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     d = docs.where("doc_id is not null")
     for _, stage in corpus_pipeline.STAGES[:-1]:
