@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, cut, small_batches
+from graphloom.llm.common import WORD, cut, free_name, small_batches
 from graphloom.llm.words import chunks, shingles, splitmix, unique_sets
 
 MISS = 1e-4
@@ -108,9 +108,16 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.
     bits = min(MOST_BITS, max(1 << 16, 1 << ceil(log(128 * max(1, sizes["all"] or 1), 2))))
     need = max(1, ceil(threshold * (sizes["low"] or 1) - 1e-9))
     spots = items.select(F.explode("set").alias("x")).select(F.explode(F.array(F.pmod("x", F.lit(bits)), F.pmod(F.shiftright("x", 32), F.lit(bits)))).alias("p"))
-    words = spots.groupBy(F.expr("p div 32").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits")).collect()  # at most bits / 32
-    sieve = np.zeros(bits // 32, dtype="<u4")
-    sieve[[r["at"] for r in words]] = [r["bits"] for r in words]
+    words = spots.groupBy(F.expr("p div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+
+    def join_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([batch.column(1).to_numpy().astype("<i8").tobytes()], pa.binary())], names=["at", "bits"])
+
+    sieve = np.zeros(bits // 64, dtype="<i8")
+    for r in words.mapInArrow(join_words, "at binary, bits binary").toLocalIterator():  # MOST_BITS / 64 words at most, as a few hundred chunks
+        sieve[np.frombuffer(r["at"], dtype="<i8")] = np.frombuffer(r["bits"], dtype="<i8")
+    sieve = sieve.view("<u4")
     flags = docs.sparkSession.sparkContext.broadcast(np.unpackbits(sieve.view(np.uint8), bitorder="little").astype(bool) if bits <= 1 << 23 else sieve)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +163,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns."""
-    bad = contained_items(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("rid").alias("bad_rid")).distinct()
-    return docs.join(bad, _row_id(id_col, text_col) == F.col("bad_rid"), "left_anti")
+    """The rows of docs that contain no item, with all their columns. Null, empty and blank texts stay; of rows that repeat all go or all stay; an empty table gives no rows."""
+    bad = free_name("bad_rid", docs)
+    found = contained_items(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("rid").alias(bad)).distinct()
+    return docs.join(found, _row_id(id_col, text_col) == F.col(bad), "left_anti")
 
 
 #: The same pairs from all shingles, as texts.

@@ -9,22 +9,25 @@
    from their mean, near vectors with a common direction are far apart. Substrings have about log2(n / 64) bits, so
    buckets keep their size as n grows; a strong common direction makes them larger. Up to CHUNK classes are one
    bucket, so all pairs are compared.
-4. Buckets over CHUNK classes are dealt out as pairs of chunks. Each block is one matrix product of original vectors
-   in double precision. A pair counts only in the first table where it meets. A block gives link counts and a
-   spanning forest of its links, never all pairs.
+4. Buckets over CHUNK classes are dealt out as pairs of chunks, first with HAMMING bits of their codes alone: a vector
+   goes on only if some other of its block is within a Hamming distance that a pair at the threshold exceeds with a
+   probability under 1e-6 (five standard deviations), or at most half way to that of unrelated vectors.
+5. Blocks of what goes on get the original vectors and are reranked by one matrix product in double precision. A pair
+   counts only in the first table where it meets. A block gives link counts and a spanning forest of its links, never
+   all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, small_batches
+from graphloom.llm.common import cut, join_hot, small_batches
 from graphloom.llm.graph import components
 from graphloom.llm.runs import group_cuts, group_runs
 
@@ -32,6 +35,7 @@ SAMPLE = 20_000  # vectors that the quantiser is fitted on, at most about
 RECALL = 0.985  # of pairs just at the threshold
 CHUNK = 2_048
 BUCKET = 64
+HAMMING = 256  # bits of a code that are compared at most
 
 
 def fit_rotations(x: np.ndarray, rotations: int, rounds: int = 40) -> np.ndarray:
@@ -59,6 +63,20 @@ def tables_for(n: int, threshold: float, recall: float = RECALL) -> tuple[int, i
     return bits, ceil(log(1 - recall) / log(1 - meet))
 
 
+def most_differing(bits: int, threshold: float) -> int:
+    """The Hamming distance over which a pair isn't reranked."""
+    rate = acos(threshold) / pi
+    return ceil(bits * max((rate + 0.5) / 2, rate + 5 * sqrt(rate * (1 - rate) / max(1, bits))))
+
+
+def _near_codes(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of codes x (64-bit words) are within `most` bits of which of y."""
+    out = np.zeros((len(x), len(y)), dtype=np.uint16)
+    for k in range(x.shape[1]):
+        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return out <= most
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     """Indices of the links (a, b) that join what earlier ones have not."""
     parent, out = list(range(n)), []
@@ -84,11 +102,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     component of its vector's copies, and is never kept. An empty table gives no rows.
     """
     small_batches(vectors.sparkSession)
-    real = F.col(vec_col).cast("array<double>")
+    real = F.col(vec_col) if dict(vectors.dtypes)[vec_col] == "array<float>" else F.col(vec_col).cast("array<double>")
     finite = ~F.exists(real, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(real, lambda x: x != 0)
+    # Equal vectors are one class, 0.0 and -0.0 alike.
+    real = F.transform(real, lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), real.alias("v"), F.coalesce(finite, F.lit(False)).alias("ok"))
     rows = cut(rows.withColumns({"a": F.when(F.col("ok"), F.xxhash64("v")), "b": F.when(F.col("ok"), F.xxhash64(F.lit(1), "v"))}), "vectors")
-    classes = cut(rows.where("ok").groupBy("a", "b").agg(F.count("*").alias("w"), F.min("vec_id").alias("low"), F.first("v").alias("v")).withColumn("id", F.coalesce("low", F.col("a"))), "vector-classes")
+    classes = cut(rows.where("ok").groupBy("a", "b").agg(F.count("*").alias("w"), F.min("vec_id").alias("low"), F.any_value("v").alias("v")).withColumn("id", F.coalesce("low", F.col("a"))), "vector-classes")
     lone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     dims = [r["d"] for r in classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]  # one row per vector length
     linked = [_one_length(classes.where(F.size("v") == d), d, threshold, recall, sample) for d in dims]
@@ -121,29 +141,65 @@ def _one_length(classes: DataFrame, d: int, threshold: float, recall: float, sam
     projection = _fitted(classes, n, d, ceil(bits * tables / d), sample) if bits else np.zeros((d, 0))
     place = np.int64(1) << np.arange(bits, dtype=np.int64)
 
+    kind = "<f4" if dict(classes.dtypes)["v"] == "array<float>" else "<f8"
+    words = -(-min(HAMMING, bits * tables) // 64)
+    most = most_differing(min(HAMMING, bits * tables), threshold)
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(2).flatten().to_numpy().reshape(-1, d)
-            u = v / np.abs(v).max(axis=1, keepdims=True)
+            u = v.astype(float)
+            u /= np.abs(u).max(axis=1, keepdims=True)
             u /= np.linalg.norm(u, axis=1, keepdims=True)
             b = u @ projection >= 0
             keys = np.stack([b[:, t * bits : (t + 1) * bits] @ place for t in range(tables)], axis=1)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in v], pa.binary()), pa.ListArray.from_arrays(pa.array((np.arange(len(v) + 1) * tables).astype(np.int32)), pa.array(keys.ravel()))], names=["id", "w", "v", "keys"])
-
-    coded = cut(classes.select("id", "w", "v").mapInArrow(code, "id long, w long, v binary, keys array<long>"), "codes")
-    buckets = coded.select("id", F.posexplode("keys").alias("t", "key"))
+            short = np.zeros((len(v), words * 64), dtype=bool)
+            short[:, : min(HAMMING, bits * tables)] = b[:, : min(HAMMING, bits * tables)]
+            packed = np.packbits(short, axis=1) if words else np.zeros((len(v), 0), dtype=np.uint8)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in v.astype(kind)], pa.binary()), pa.array([r.tobytes() for r in packed], pa.binary()), pa.ListArray.from_arrays(pa.array((np.arange(len(v) + 1) * tables).astype(np.int32)), pa.array(keys.ravel()))], names=["id", "w", "v", "code", "keys"])
+
+    coded = cut(classes.select("id", "w", "v").mapInArrow(code, "id long, w long, v binary, code binary, keys array<long>"), "codes")
+    block = ("t", "key", "p", "q")
+    buckets = coded.select("id", "code", F.posexplode("keys").alias("t", "key"))
     full = buckets.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    members = buckets.join(full.select("t", "key", "chunks"), ["t", "key"]).withColumn("chunk", F.pmod(F.xxhash64("id", "t"), F.col("chunks").cast("long")).cast("int"))
+    members = join_hot(buckets, full.select("t", "key", "n", "chunks"), ["t", "key"], "n", n * tables).withColumn("chunk", F.pmod(F.xxhash64("id", "t"), F.col("chunks").cast("long")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("id", "t", "key", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk")
-    blocks = dealt.join(coded, "id").repartition("t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q", "id")
+    dealt = dealt.select("id", "code", "t", "key", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk")
+
+    def sides(chunk: np.ndarray, a: int, b: int, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        return (np.arange(a, b),) * 2 if p == q else (a + np.flatnonzero(chunk[a:b] == p), a + np.flatnonzero(chunk[a:b] == q))
+
+    def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in group_runs(batches, block):
+            cuts = group_cuts(part, block)
+            p, q, chunk = (part.column(c).to_numpy() for c in ("p", "q", "chunk"))
+            x = np.frombuffer(b"".join(part.column("code").to_pylist()), dtype=np.uint64).reshape(-1, words)
+            go = np.zeros(part.num_rows, dtype=bool)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                left, right = sides(chunk, a, b, p[a], q[a])
+                for k in range(0, len(left), 256):
+                    some = left[k : k + 256]
+                    near = _near_codes(x[some], x[right], most)
+                    if p[a] == q[a]:
+                        near[np.arange(len(some)), k + np.arange(len(some))] = False
+                    go[some] |= near.any(axis=1)
+                    go[right] |= near.any(axis=0)
+            if go.any():
+                yield from part.select(["id", *block, "chunk"]).filter(pa.array(go)).to_batches()
+
+    whole = "id long, t int, key long, p int, q int, chunk int"
+    if words:
+        found = dealt.repartition(*block).sortWithinPartitions(*block).select("id", *block, "chunk", "code").mapInArrow(retrieve, whole)
+    else:  # one block of few vectors: all pairs are reranked
+        found = dealt.select("id", *block, "chunk")
+    near_ = cut(found, "retrieved")
+    blocks = near_.join(coded.drop("code") if not words else coded, "id").repartition(*block).sortWithinPartitions(*block, "id")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(part: pa.Table) -> list[pa.RecordBatch]:
             col = {c: part.column(c).to_numpy() for c in ("t", "key", "p", "q", "chunk", "id", "w")}
-            group = np.stack([col[c].astype(np.int64) for c in ("t", "key", "p", "q")], axis=1)
-            cuts = group_cuts(part, ("t", "key", "p", "q"))
-            v = np.frombuffer(b"".join(part.column("v").to_pylist()), dtype=float).reshape(-1, d)
+            cuts = group_cuts(part, block)
+            v = np.frombuffer(b"".join(part.column("v").to_pylist()), dtype=kind).reshape(-1, d).astype(float)
             norm = np.linalg.norm(v, axis=1)
             odd = (norm < 1e-100) | (norm > 1e100) | ~np.isfinite(norm)
             if odd.any():
@@ -155,8 +211,8 @@ def _one_length(classes: DataFrame, d: int, threshold: float, recall: float, sam
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a < 2:
                     continue
-                t, p, q = group[a][0], group[a][2], group[a][3]
-                left, right = (np.arange(a, b),) * 2 if p == q else (a + np.flatnonzero(col["chunk"][a:b] == p), a + np.flatnonzero(col["chunk"][a:b] == q))
+                t, p, q = int(col["t"][a]), int(col["p"][a]), int(col["q"][a])
+                left, right = sides(col["chunk"], a, b, p, q)
                 cosine = (v[left] @ v[right].T) / (norm[left][:, None] * norm[right][None, :])
                 i, j = np.nonzero(cosine >= threshold)
                 if p == q:
@@ -180,9 +236,9 @@ def _one_length(classes: DataFrame, d: int, threshold: float, recall: float, sam
             to = np.concatenate(tos)
             return [pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns)), pa.array(col["id"][np.maximum(to, 0)], mask=to < 0)], names=["id", "n", "other"])]
 
-        for part in group_runs(batches, ("t", "key", "p", "q")):
+        for part in group_runs(batches, block):
             yield from solve(part)
 
-    found = cut(blocks.select("t", "key", "p", "q", "chunk", "id", "w", "v", "keys").mapInArrow(link, "id long, n long, other long"), "vector-links")
+    found = cut(blocks.select(*block, "chunk", "id", "w", "v", "keys").mapInArrow(link, "id long, n long, other long"), "vector-links")
     counts = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     return counts, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))

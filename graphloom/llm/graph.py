@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, forget
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -25,9 +25,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(_lowest(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         joined = large.join(_lowest(large), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(small, "links")
+        old, e = e, cut(small, "links")
+        forget(old)
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

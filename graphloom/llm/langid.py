@@ -3,7 +3,8 @@
 States are the languages. A word's potentials sum weights of hashed features: the word itself (a learned lexicon),
 affixes of 1 to 4 bytes and n-grams of 2 and 3 bytes. Transitions are learned with them, from sequences in which spans
 of training documents of different languages follow one another, as in code-switched text. Forward-backward labels each
-word of the whole text; a text's language has most expected words.
+word of the whole text; a text's language has most expected words. A text over SEGMENT bytes is several sequences, cut
+between words.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from graphloom.llm.common import small_batches
 from graphloom.llm.toxicity import _AS_SPACE, held_out
-from graphloom.llm.words import _BYTE, chunks, powers, splitmix, word_spans
+from graphloom.llm.words import _BYTE, chunks, powers, segments, splitmix, word_spans
 
 SIZE = 1 << 16
-SAMPLE_ROWS = 300  # training documents of each language, at most about
-SPAN = 64  # words that a training document gives, from a place chosen by hash
-LANGUAGES = 100
+SAMPLE_ROWS = 300  # training documents of each language, at most
+SEGMENT = 8 << 10
+MOST_LANGUAGES = 100_000  # above, the column holds no languages: an error, nothing is left out
 AFFIXES = (1, 2, 3, 4)
 GRAMS = (2, 3)
 _U = np.uint64
@@ -81,6 +83,12 @@ class Crf:
 
     def expected(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Expected words of each language in each text, by forward-backward over all its words."""
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        for part, bounds, of in segments(raw, offsets, SEGMENT):
+            np.add.at(out, of, self._expected(part, bounds))
+        return out
+
+    def _expected(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         first, word, flat, begin = words_of(raw, offsets)
         p = self.potentials(flat, begin)
         p = np.exp(p - p.max(axis=1, keepdims=True, initial=-np.inf))[word] if len(p) else np.zeros((0, len(self.langs)))
@@ -111,36 +119,39 @@ class Crf:
         return result
 
 
-def fit_crf(spans: list[tuple[str, str]], sequences: int = 1500, length: int = 48, steps: int = 240, seed: int = 7) -> Crf:
-    """Learn from (language, span of words): conditional likelihood of sequences that switch language, by Adam over minibatches."""
+def fit_crf(spans: list[tuple[str, str]], sequences: int | None = None, length: int = 48, steps: int | None = None, seed: int = 7) -> Crf:
+    """Learn from (language, text): conditional likelihood of sequences that switch language, by Adam over minibatches. Sequences, steps and batches grow with the languages. Without texts, a model without languages."""
     langs = sorted({x for x, _ in spans})
     n = len(langs)
+    sequences, steps, batch = sequences or max(1500, 60 * n), steps or max(240, 3 * n), max(48, n)
     if not n:
         return Crf([], np.zeros((SIZE, 0)), np.zeros((0, 0)))
     rng = np.random.default_rng(seed)
     texts = [t.encode() for _, t in spans]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     first, word, flat, begin = words_of(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
-    lang = np.array([langs.index(x) for x, _ in spans])
+    place = {x: k for k, x in enumerate(langs)}
+    lang = np.array([place[x] for x, _ in spans])
     usable = np.flatnonzero(np.diff(first) > 0)
     if not len(usable):
         return Crf(langs, np.zeros((SIZE, n)), np.zeros((n, n)))
     of_lang = {k: usable[lang[usable] == k] for k in np.unique(lang[usable])}
     seqs, gold = np.zeros((sequences, length), dtype=np.int64), np.zeros((sequences, length), dtype=np.int64)
+    known = list(of_lang)
     for i in range(sequences):
         at = 0
         while at < length:
-            d = rng.choice(of_lang[rng.choice(list(of_lang))])
+            d = rng.choice(of_lang[known[rng.integers(len(known))]])
             m = int(min(length - at, rng.integers(4, 40), first[d + 1] - first[d]))
             a = first[d] + rng.integers(0, first[d + 1] - first[d] - m + 1)
             seqs[i, at : at + m], gold[i, at : at + m] = word[a : a + m], lang[d]
             at += m
-    w, a = np.zeros((SIZE, n)), np.zeros((n, n))
+    w, a = np.zeros((SIZE, n), dtype=np.float32), np.zeros((n, n))
     mw, vw, ma, va = np.zeros_like(w), np.zeros_like(w), np.zeros_like(a), np.zeros_like(a)
     root = np.sqrt(np.diff(begin))
     eye = np.eye(n)
     for step in range(1, steps + 1):
-        rows = rng.integers(0, sequences, 48)
+        rows = rng.integers(0, sequences, batch)
         x, y = seqs[rows], gold[rows]
         kinds, inv = np.unique(x, return_inverse=True)
         per = (begin[1:] - begin[:-1])[kinds]
@@ -158,14 +169,14 @@ def fit_crf(spans: list[tuple[str, str]], sequences: int = 1500, length: int = 4
             b[:, t] = s / s.sum(axis=1, keepdims=True)
         m = f * b
         m /= m.sum(axis=2, keepdims=True)
-        pair = f[:, :-1, :, None] * move * (e[:, 1:] * b[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        left, right = f[:, :-1].reshape(-1, n), (e[:, 1:] * b[:, 1:]).reshape(-1, n)
+        pair = move * ((left / ((left @ move) * right).sum(axis=1, keepdims=True)).T @ right)  # summed over all places
         true_pair = np.bincount(y[:, :-1].ravel() * n + y[:, 1:].ravel(), minlength=n * n).reshape(n, n)
-        ga = (pair.sum(axis=(0, 1)) - true_pair) / len(rows) + 1e-3 * a
+        ga = (pair - true_pair) / len(rows) + 1e-3 * a
         d = (m - eye[y]).reshape(-1, n)
         dk = np.stack([np.bincount(inv.ravel(), d[:, k], len(kinds)) for k in range(n)], axis=1) / root[kinds][:, None] / len(rows)
         spread = np.repeat(dk, per, axis=0)
-        gw = np.stack([np.bincount(idx, spread[:, k], SIZE) for k in range(n)], axis=1) + 1e-5 * w
+        gw = np.stack([np.bincount(idx, spread[:, k], SIZE) for k in range(n)], axis=1).astype(np.float32) + np.float32(1e-5) * w
         for g, p_, mm, vv in ((gw, w, mw, vw), (ga, a, ma, va)):
             mm *= 0.9
             mm += 0.1 * g
@@ -176,22 +187,24 @@ def fit_crf(spans: list[tuple[str, str]], sequences: int = 1500, length: int = 4
 
 
 def training_spans(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """A bounded sample: of each of at most LANGUAGES languages about `rows` training documents (crc32(doc_id) mod 5 not 0), SPAN words each."""
+    """A bounded sample: of each language (every value of lang) at most `rows` whole training documents (crc32(doc_id) mod 5 not 0), those of least hash. One pass for the counts and one for the texts. Null texts and languages are left out; an empty table gives none."""
     known = docs.where("lang is not null and text is not null").where(~held_out()).select("lang", "doc_id", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    out = []
-    for r in counts:
-        share = int(min(1.0, 2 * rows / r["count"]) * (1 << 20))
-        mine = known.where((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.lit(share)))
-        words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-        at = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.greatest(F.lit(1), F.size("w") - SPAN + 1)).cast("int") + 1
-        picked = mine.withColumn("w", words).select("doc_id", F.array_join(F.slice("w", at, SPAN), " ").alias("span"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "span").limit(rows)
-        out += [(r["lang"], x["span"]) for x in picked.collect()]
-    return out
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} values of lang")
+    if not counts:
+        return []
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 40, int(3 * (rows + 20) / r["n"] * (1 << 40)))) for r in counts], "lang string, share long")
+    # First by a threshold that keeps about three times as many, so that little is sorted; copies of a text differ in doc_id.
+    hashed = known.withColumn("h", F.xxhash64("doc_id", "text", F.lit(5))).join(F.broadcast(shares), "lang")
+    few = hashed.where(F.pmod("h", F.lit(1 << 40)) < F.col("share"))
+    turn = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "doc_id", "text")
+    picked = few.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= rows)
+    return [(r["lang"], r["text"]) for r in picked.select("lang", "text", "k").orderBy("lang", "k").collect()]
 
 
 def languages(docs: DataFrame, model: Crf) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row; `und` with score 0 for null texts and texts without a letter (or without a learned language). A null doc_id isn't held out."""
+    """doc_id, held_out, lang_pred, score of each row; `und` with score 0 for null texts and texts without a letter (or without a learned language). A null doc_id isn't held out. Rows that repeat are predicted each; an empty table gives no rows; other columns aren't read."""
     small_batches(docs.sparkSession)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,21 +9,25 @@ a bracket of the root. Sums are decimals, so that reruns agree.
 Rates become whole copies by systematic rounding along (size class, hash): floor(rate) copies and an extra one
 whenever the running sum of fractions passes a whole number. A few passes then add or take single copies of
 documents no longer than what a source still lacks or has too much. Running sums are two-level (sums within
-bounded parts, then over parts), so that no source needs one task.
+bounded parts, then over parts), so that no source needs one task. Sources with over 1 / HOT of the documents (fewer
+than HOT, by arithmetic) are broadcast to them, others meet theirs by shuffle, so that no join deals a hot source to one
+task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.llm.common import WORD, cut
+from graphloom.llm.common import WORD, cut, forget, free_name
 
 UNIT = 1 << 30
-PART_ROWS = 20_000
+PART_ROWS = 20_000  # in a part at least; more rows have their square root in each, so that parts are few too
+HOT = 1_000
 STEPS_A_JOB = 4
 
 
@@ -32,6 +36,14 @@ def text_size(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _with_source(cells: DataFrame, of: DataFrame, total: int) -> DataFrame:
+    """cells joined with of (src, docs and more, one row per source) on src; no task gets all cells of a hot source."""
+    hot = F.col("docs") * HOT > total
+    rest = [c for c in of.columns if c != "src"]
+    near = cells.join(F.broadcast(of.where(hot)), "src", "left")
+    return near.where("docs is not null").unionByName(near.where("docs is null").drop(*rest).join(of.where(~hot), "src"))
+
+
 def source_targets(cells: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """One row per source: src, source, source_size, target.
 
@@ -83,6 +95,9 @@ def tilts(cells: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1
             worst = state.agg(F.max(F.abs("gap")).alias("x")).first()["x"]
             if worst is None or worst <= tolerance:
                 break
+    else:
+        if worst > 1e-6:
+            raise RuntimeError(f"the mix is still off by {worst} of a target after {most_steps} steps")
     return state.select("src", "full", "scale", F.round("lam", 9).alias("lam"))
 
 
@@ -102,25 +117,31 @@ def mix_cells(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: floa
     taken from them. An empty table gives no rows. Rows that repeat are one cell and share its copies.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(source_col).alias("source"), text_size(text_col).alias("size"))
-    cells = cut(rows.groupBy("doc_id", "h", "source", "size").agg(F.count("*").alias("n")), "mix-cells")
-    sources = cut(source_targets(cells, weights, share, cap), "mix-sources")
-    parts = max(1, -(-(cells.count()) // PART_ROWS))
-    marked = cells.join(sources.select("source", "src", "source_size", "target"), cells["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    dual = tilts(marked, sources, cap)
+    found = cut(rows.groupBy("doc_id", "h", "source", "size").agg(F.count("*").alias("n")), "mix-cells")
+    sources = cut(source_targets(found, weights, share, cap), "mix-sources")
+    total = found.count()
+    parts = max(1, -(-total // max(PART_ROWS, isqrt(total))))
+    # A source's number from its name: hot names by broadcast again.
+    named = sources.select(F.struct(F.col("source").isNull().alias("none"), "source").alias("src"), F.col("src").alias("number"), "docs", "source_size", "target")
+    marked = _with_source(found.withColumn("src", F.struct(F.col("source").isNull().alias("none"), "source")), named, total)
+    cells = cut(marked.drop("src", "docs").withColumnRenamed("number", "src"), "mix-marked")
+    dual = cut(tilts(cells, sources, cap).join(sources.select("src", "docs"), "src"), "mix-tilts")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("full"), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.col("size") / F.col("scale"))))
-    rated = marked.join(dual, "src").withColumn("rate", rate).drop("lam", "scale", "full")
+    rated = _with_source(cells, dual, total).withColumn("rate", rate).drop("lam", "scale", "full", "docs")
     rated = rated.withColumns({"order": F.xxhash64("doc_id", "h"), "whole": F.floor("rate") * F.col("n"), "frac": F.round((F.col("rate") - F.floor("rate")) * UNIT).cast("long") * F.col("n"), "class": F.floor(F.log2(F.col("size") + 1) * 2).cast("int")})
     rated = rated.withColumn("part", F.pmod("order", F.lit(parts)).cast("int"))
     run = _before(rated, ["src"], ["class", "part"], ["order", "doc_id"], "frac")
     extra = F.expr(f"(before + frac + {UNIT // 2}) div {UNIT} - (before + {UNIT // 2}) div {UNIT}")
     out = cut(run.withColumn("copies", F.col("whole") + extra).drop("whole", "frac", "before", "class"), "mix-copies")
+    forget(found, cells)
     for _ in range(passes):
-        lack = out.groupBy("src").agg((F.round(F.first("target")) - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("lack"))
-        room = out.join(lack, "src").withColumn("fits", (F.col("size") > 0) & (F.col("size") <= F.abs("lack")) & F.when(F.col("lack") > 0, F.col("copies") < cap * F.col("n")).otherwise(F.col("copies") > 0))
+        lack = out.groupBy("src").agg((F.round(F.first("target")) - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("lack"), F.count("*").alias("docs"))
+        room = _with_source(out, lack, total).withColumn("fits", (F.col("size") > 0) & (F.col("size") <= F.abs("lack")) & F.when(F.col("lack") > 0, F.col("copies") < cap * F.col("n")).otherwise(F.col("copies") > 0))
         room = room.withColumn("step", F.when(F.col("fits"), F.col("size")).otherwise(F.lit(0)))
         run = _before(room, ["src"], ["part"], ["order", "doc_id"], "step")
         turn = F.col("fits") & (F.col("before") + F.col("step") <= F.abs("lack"))
-        out = cut(run.withColumn("copies", F.col("copies") + F.when(turn, F.signum("lack").cast("long")).otherwise(F.lit(0))).drop("lack", "fits", "step", "before"), "mix-copies")
+        old, out = out, cut(run.withColumn("copies", F.col("copies") + F.when(turn, F.signum("lack").cast("long")).otherwise(F.lit(0))).drop("lack", "fits", "step", "before", "docs"), "mix-copies")
+        forget(old)
     return out.select("doc_id", "h", "source", "size", "n", "source_size", "target", "rate", "copies")
 
 
@@ -133,11 +154,17 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, all columns kept."""
-    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    cells = mix_cells(docs, **how).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("h").alias("mix_h"), F.col("source").alias("mix_source"), F.col("copies").alias("mix_copies"), F.col("n").alias("mix_n"))
-    hashed = docs.withColumn("mix_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = hashed[id_col].eqNullSafe(F.col("mix_id")) & (F.col("mix_hash") == F.col("mix_h")) & hashed[how.get("source_col", "source")].eqNullSafe(F.col("mix_source"))
-    once = hashed.join(cells.where("mix_n = 1"), same)
-    again = hashed.join(cells.where("mix_n > 1"), same).dropDuplicates(["mix_id", "mix_h", "mix_source"])
-    return once.unionByName(again).withColumn("mix_k", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken, all columns kept.
+
+    Rows that repeat identifier, text and source share their copies: one of them stands for all. Null texts count as
+    empty, null identifiers and sources as values of their own; an empty table gives no rows.
+    """
+    id_col, text_col, source_col = (how.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source")))
+    name = {c: free_name(f"mix_{c}", docs) for c in ("doc_id", "h", "source", "copies", "n", "hash", "k")}
+    cells = mix_cells(docs, **how).where("copies > 0").select(*(F.col(c).alias(name[c]) for c in ("doc_id", "h", "source", "copies", "n")))
+    hashed = docs.withColumn(name["hash"], F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = hashed[id_col].eqNullSafe(cells[name["doc_id"]]) & (hashed[name["hash"]] == cells[name["h"]]) & hashed[source_col].eqNullSafe(cells[name["source"]])
+    taken = hashed.join(cells, same)
+    one = F.col(name["n"]) == 1
+    once, again = taken.where(one), taken.where(~one).dropDuplicates([name[c] for c in ("doc_id", "h", "source")])
+    return once.unionByName(again).withColumn(name["k"], F.explode(F.sequence(F.lit(1), F.col(name["copies"]).cast("int")))).select(*docs.columns)

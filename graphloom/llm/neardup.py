@@ -1,6 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Documents with equal shingle sets are one class, represented by its smallest identifier. Representatives are
+Documents are told apart by identifier and text. Those with equal shingle sets are one class, which its smallest
+document stands for; classes are numbered in the order of these. Classes are
 banded (32 bands of 4 minimum hashes: a pair at similarity 0.75 shares none with probability 5e-6). Candidates
 come in two rounds, so that a bucket of n near copies costs about n pairs and not n * n:
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, small_batches
+from graphloom.llm.common import cut, forget, free_name, small_batches
 from graphloom.llm.graph import components
 from graphloom.llm.runs import group_cuts, group_runs
 from graphloom.llm.words import chunks, min_hashes, shingles, splitmix, unique_sets
@@ -50,38 +51,46 @@ def least_matches(threshold: float, hashes: int, batch: int, miss: float) -> dic
     return out
 
 
+DOC = ["doc_id", "t1", "t2"]
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """DOC (identifier and two hashes of the text) and text of each row."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two hashes of the shingle set and its signature (null without shingles), for each row."""
+    """DOC, n_shingles, two hashes of the shingle set and its signature (null without shingles), for each row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, raw, offsets in chunks(batch.column(1)):
+            for a, b, raw, offsets in chunks(batch.column(3)):
                 hashes, bound = shingles(raw, offsets)
                 sets = unique_sets(hashes, bound)
                 sig = min_hashes(hashes, bound, BANDS * ROWS)
                 n = [len(s) for s in sets]
                 sums = [np.array([np.sum(splitmix(s ^ np.uint64(seed)), dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64) for seed in (1, 2)]
-                yield pa.record_batch([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([s.tobytes() if k else None for s, k in zip(sig, n, strict=True)], pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+                yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in range(3)), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([s.tobytes() if k else None for s, k in zip(sig, n, strict=True)], pa.binary())], names=[*DOC, "n_shingles", "h1", "h2", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return _documents(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, t1 long, t2 long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and set (distinct shingle hashes) of the rows whose identifier and set hash are in wanted(id, h1)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select("id", "h1"), "id")
+    """id and set (distinct shingle hashes) of the documents in wanted(id, DOC): a row for each that docs has."""
+    of = wanted.select("id", *(F.col(c).alias(f"w_{c}") for c in DOC))
+    every = _documents(docs, id_col, text_col)
+    texts = every.join(of, every["doc_id"].eqNullSafe(of["w_doc_id"]) & (every["t1"] == of["w_t1"]) & (every["t2"] == of["w_t2"])).select("id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1 = batch.column(2).to_numpy()
             for a, b, raw, offsets in chunks(batch.column(1)):
                 found = unique_sets(*shingles(raw, offsets))
-                mine = [k for k, s in enumerate(found) if np.sum(splitmix(s ^ np.uint64(1)), dtype=np.uint64).view(np.int64) == h1[a + k]]
-                if mine:
-                    ends = np.concatenate([[0], np.cumsum([len(found[k]) for k in mine])]).astype(np.int32)
-                    flat = np.concatenate([np.sort(found[k].view(np.int64)) for k in mine])
-                    yield pa.record_batch([batch.column(0).slice(a, b - a).take(pa.array(mine)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "set"])
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                flat = np.concatenate([np.sort(x.view(np.int64)) for x in found])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "set"])
 
-    return texts.mapInArrow(sets, "id long, set array<long>")
+    return texts.mapInArrow(sets, "id long, set array<long>").dropDuplicates(["id"])
 
 
 def _alive(x: np.ndarray, y: np.ndarray, least: dict[int, int]) -> np.ndarray:
@@ -145,18 +154,11 @@ def _across(placed: DataFrame, signed: DataFrame, sets: DataFrame, threshold: fl
                 m, o = a + np.flatnonzero(is_odd[a:b] == 0), a + np.flatnonzero(is_odd[a:b] == 1)
                 if not len(m) or not len(o):
                     continue
-                root: dict[int, int] = {}
-
-                def find(x: int, root=root) -> int:
-                    while (y := root.setdefault(x, x)) != x:
-                        root[x] = root[y]
-                        x = root[y]
-                    return x
-
+                kinds, of = np.unique(comp[a:b], return_inverse=True)
+                root = np.arange(len(kinds))  # of each component; flat, so that all roots are one look-up
                 first = int(band[a])
                 for i in o.tolist():
-                    mine = find(int(comp[i]))
-                    others = m[np.array([find(c) != mine for c in comp[m].tolist()], dtype=bool)]
+                    others = m[root[of[m - a]] != root[of[i - a]]]
                     if first and len(others):  # pairs that met in an earlier band are done there
                         met = (sig[others, : first * ROWS].reshape(len(others), first, ROWS) == sig[i, : first * ROWS].reshape(first, ROWS)).all(axis=2).any(axis=1)
                         others = others[~met]
@@ -165,14 +167,14 @@ def _across(placed: DataFrame, signed: DataFrame, sets: DataFrame, threshold: fl
                     others = others[_alive(sig[i : i + 1], sig[others], least)]
                     own = flat[at[i] : at[i + 1]]
                     for j in others.tolist():
-                        if find(int(comp[i])) == find(int(comp[j])):
+                        if root[of[i - a]] == root[of[j - a]]:
                             continue
                         its = flat[at[j] : at[j + 1]]
                         where = np.minimum(np.searchsorted(own, its), len(own) - 1)
                         n = int((own[where] == its).sum())
                         if 100 * n >= percent * (size[i] + size[j] - n):
                             pairs.append((int(ids[i]), int(ids[j])))
-                            root[find(int(comp[i]))] = find(int(comp[j]))
+                            root[root == root[of[i - a]]] = root[of[j - a]]
             if pairs:
                 x, y = zip(*pairs, strict=True)
                 yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -180,19 +182,14 @@ def _across(placed: DataFrame, signed: DataFrame, sets: DataFrame, threshold: fl
     return dealt.select(*group, "odd", "id", "c", "band", "sig", "set").mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked if 100 * |intersection| >= 100 * threshold * |union| of their sets of five-word shingles.
-    component_id is the smallest identifier that links reach. Documents without words (null, empty, white space) have
-    an empty set and link with nothing. Rows that repeat an identifier are one document with all their texts; a row
-    with null identifier is in its copies' component (null without copies) and never kept.
-    An empty table gives no rows; other columns aren't read.
-    """
+def near_groups(docs: DataFrame, threshold: float = 0.75, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: DOC, n_shingles, component_id, leader (whether the document stays of its component). An empty set's document is its own."""
     small_batches(docs.sparkSession)
     rows = cut(sketches(docs, id_col, text_col), "sketches")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("id"))
-    classes = cut(classes, "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), *DOC)
+    found = rows.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min_by("sig", place).alias("sig"), F.min(place).alias("first"))
+    # Numbers in the order of first documents: a component's least class holds its least document.
+    classes = cut(found.orderBy("first").select("n_shingles", "h1", "h2", "sig", *(F.col(f"first.{c}").alias(c) for c in DOC)).withColumn("id", F.monotonically_increasing_id()), "classes")
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)))
     banded = classes.select("id", F.posexplode(bands).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("key", "hub")
@@ -205,9 +202,46 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = MISS
     first = components(linked)
     placed = cut(members.select("key", "band", "id").join(first, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c")), "placed")
     more = cut(_across(placed, classes, sets, threshold, miss), "links2")
+    forget(placed, members, sets)
     final = components(linked.unionByName(more))
+    forget(linked, more)
 
-    member_of = classes.select("n_shingles", "h1", "h2", "id").join(final, "id", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "id").alias("found"))
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(member_of, ["n_shingles", "h1", "h2"], "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("found"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    own = classes.select("n_shingles", "h1", "h2", "id", *(F.col(c).alias(f"first_{c}") for c in DOC))
+    of = own.join(final, "id", "left").select("n_shingles", "h1", "h2", "id", *(f"first_{c}" for c in DOC), F.coalesce("component", "id").alias("root"))
+    member_of = of.join(classes.select(F.col("id").alias("root"), F.col("doc_id").alias("found")), "root")
+    out = rows.select(*DOC, "n_shingles", "h1", "h2").join(member_of, ["n_shingles", "h1", "h2"], "left")
+    empty = F.col("n_shingles") == 0
+    leads = (F.col("id") == F.col("root")) & F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("t1") == F.col("first_t1")) & (F.col("t2") == F.col("first_t2"))
+    return out.select(*DOC, "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("found")).alias("component_id"), (empty | leads).alias("leader"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked if 100 * |intersection| >= 100 * threshold * |union| of their sets of five-word shingles.
+    component_id is the smallest identifier that links reach, kept says whether it is the row's own. Documents without
+    words (null, empty, white space) have an empty set and link with nothing. Rows that repeat an identifier with
+    another text are documents of their own; a row with null identifier is in its copies' component (null where none of
+    them has one) and never kept. An empty table gives no rows; other columns aren't read.
+    """
+    out = near_groups(docs, threshold, miss, id_col, text_col)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, threshold: float = 0.75, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near duplicates, all columns kept: of each component the document with the smallest identifier (nulls last; then by a hash of the text).
+
+    Of rows that repeat both identifier and text one stays. Texts without words link with nothing and all stay. Distinct
+    texts under one identifier are different documents. An empty table gives no rows.
+    """
+    groups = near_groups(docs, threshold, miss, id_col, text_col).where("leader")
+    count = groups.groupBy(*DOC).agg(F.count("*").alias("n"), F.max("n_shingles").alias("words"))
+    names = {c: free_name(f"kept_{c}", docs) for c in (*DOC, "n", "words", "a", "b")}
+    verdict = count.select(*(F.col(c).alias(names[c]) for c in (*DOC, "n", "words")))
+    text = F.col(text_col)
+    hashed = docs.withColumns({names["a"]: F.xxhash64(text), names["b"]: F.xxhash64(F.lit(1), text)})
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(names["doc_id"])) & (F.col(names["a"]) == F.col(names["t1"])) & (F.col(names["b"]) == F.col(names["t2"]))
+    kept = hashed.join(verdict, same)
+    twice = (F.col(names["n"]) > 1) & (F.col(names["words"]) > 0)
+    once, again = kept.where(~twice), kept.where(twice).dropDuplicates([names["doc_id"], names["t1"], names["t2"]])
+    return once.unionByName(again).select(*docs.columns)

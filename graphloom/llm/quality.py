@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, small_batches
 from graphloom.llm.labelmodel import LabelModel, fit, linear
-from graphloom.llm.words import chunks, powers, splitmix, word_hashes, word_spans
+from graphloom.llm.words import chunks, count_bytes, powers, splitmix, word_hashes, word_spans
 
 SIZE = 1 << 12
 SAMPLE_ROWS = 20_000  # expected size of the sample that the scorer is trained on
@@ -40,14 +40,32 @@ _CLASS = np.where(_UPPER, 1, np.where(_LETTER, 2, np.where(_DIGIT, 3, _ascii))).
 _CLASS_HASH = splitmix(_CLASS + _U(500))
 
 
-def statistics(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Words of each text, STATS of each, and its hashed features (index, value). Texts without words have zeros and no features."""
+def _shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, together: int = 1 << 17) -> np.ndarray:
+    """Hashed shape of each word."""
+    out = np.zeros(len(starts), dtype=np.int64)
+    for a in range(0, len(starts), together):
+        s, e = starts[a : a + together], ends[a : a + together]
+        base = s[0]
+        part, s, e = raw[base : e[-1]], s - base, e - base
+        kept = ~_SPACE[part]
+        kept[1:] &= _CLASS[part[1:]] != _CLASS[part[:-1]]
+        kept[s] = True
+        at = np.concatenate([[0], np.cumsum(kept)])
+        power, inverse = powers(int(at[-1]) + 1)
+        run = np.concatenate([[_U(0)], np.cumsum(_CLASS_HASH[part[kept]] * power[: at[-1]])])
+        out[a : a + together] = splitmix((run[at[e]] - run[at[s]]) * inverse[at[s]]) % _U(SIZE - len(STATS) * len(_BINS))
+    return out
+
+
+def statistics(raw: np.ndarray, offsets: np.ndarray, featured: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Words of each text, STATS of each, and the hashed features (index, value) of those flagged (all by default). Texts without words have zeros and no features."""
+    featured = np.ones(len(offsets) - 1, dtype=bool) if featured is None else featured
     n = len(offsets) - 1
     starts, ends = word_spans(raw, offsets)
     first = np.searchsorted(starts, offsets)
     words = np.diff(first)
-    sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
-    letters, chars = sums(_LETTER[raw]) + 5.0 * SMOOTH, sums(~_SPACE[raw]) + 5.0 * SMOOTH
+    sums = lambda flags: count_bytes(raw, offsets, flags)
+    letters, chars = sums(_LETTER) + 5.0 * SMOOTH, sums(~_SPACE) + 5.0 * SMOOTH
     hashes = word_hashes(raw, starts, ends)
     some = words + float(SMOOTH)
     same = np.zeros(len(starts), dtype=bool)
@@ -60,23 +78,20 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         _, c = np.unique(hashes[first[i] : first[i + 1]], return_counts=True)
         distinct[i], top[i] = len(c), c.max()
     usual = {k: SMOOTH * x for k, x in USUAL.items()}
-    stats = np.stack([(sums(_UPPER[raw]) + 5 * usual["upper"]) / letters, (sums(_SYMBOL[raw]) + 5 * usual["symbol"]) / chars, sums(raw == ord("|")) / some, np.minimum(1, sums(raw == ord("!")) / some), (distinct + usual["distinct"]) / some, (top + usual["top"]) / some, of_words(same) / some, (of_words(ends_line) + usual["stop"]) / some], axis=1)
-    # Shapes: runs of a class within a word count once.
-    if len(raw):
-        kept = ~_SPACE[raw]
-        kept[1:] &= _CLASS[raw[1:]] != _CLASS[raw[:-1]]
-        kept[starts] = True
-        at = np.concatenate([[0], np.cumsum(kept)])
-        power, inverse = powers(len(raw) + 1)
-        run = np.concatenate([[_U(0)], np.cumsum(_CLASS_HASH[raw[kept]] * power[: at[-1]])])
-        shape = splitmix((run[at[ends]] - run[at[starts]]) * inverse[at[starts]]) % _U(SIZE - len(STATS) * len(_BINS))
-    else:
-        shape = np.zeros(0, dtype=np.uint64)
+    stats = np.stack([(sums(_UPPER) + 5 * usual["upper"]) / letters, (sums(_SYMBOL) + 5 * usual["symbol"]) / chars, sums(_ascii == ord("|")) / some, np.minimum(1, sums(_ascii == ord("!")) / some), (distinct + usual["distinct"]) / some, (top + usual["top"]) / some, of_words(same) / some, (of_words(ends_line) + usual["stop"]) / some], axis=1)
+    # Shapes: runs of a class within a word count once. Texts are taken a window of words at a time.
+    none = (np.zeros(0, np.int32), np.zeros(0, np.float32))
     bins = SIZE - len(STATS) * len(_BINS) + np.arange(len(STATS)) * len(_BINS) + np.searchsorted(_BINS, stats, side="right") - 1
     features = []
+    shape = _shapes(raw, starts, ends) if featured.all() else None
     for i in range(n):
-        ix, c = np.unique(shape[first[i] : first[i + 1]].astype(np.int64), return_counts=True)
-        features.append((np.concatenate([ix, bins[i]]).astype(np.int32), np.concatenate([c / some[i], np.full(len(STATS), 0.5)]).astype(np.float32)) if words[i] else (np.zeros(0, np.int32), np.zeros(0, np.float32)))
+        if not words[i] or not featured[i]:
+            features.append(none)
+            continue
+        mine = slice(first[i], first[i + 1])
+        own = shape[mine] if shape is not None else _shapes(raw, starts[mine], ends[mine])
+        ix, c = np.unique(own, return_counts=True)
+        features.append((np.concatenate([ix, bins[i]]).astype(np.int32), np.concatenate([c / some[i], np.full(len(STATS), 0.5)]).astype(np.float32)))
     return words, stats, features
 
 
@@ -127,7 +142,7 @@ def fit_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str =
             once = np.zeros(len(picked), dtype=bool)  # one of equal texts will do
             once[np.unique(batch.column(1).to_numpy(), return_index=True)[1]] = True
             for a, b, raw, offsets in chunks(batch.column(0)):
-                words, stats, features = statistics(raw, offsets)
+                words, stats, features = statistics(raw, offsets, (picked & once)[a:b])
                 code = labellers(words, stats) @ (3 ** np.arange(VOTERS))
                 mine = (picked & once)[a:b] & (words > 0)
                 yield pa.record_batch([pa.array(code), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([ix.tobytes() if p else None for (ix, _), p in zip(features, mine, strict=True)], pa.binary()), pa.array([x.tobytes() if p else None for (_, x), p in zip(features, mine, strict=True)], pa.binary())], names=["code", "h", "m", "ix", "x"])
@@ -147,7 +162,7 @@ def fit_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str =
 
 
 def quality_scores(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (P(high quality)) and keep (score >= 0.5) of each row. Null, empty and blank texts score 0; other columns aren't read."""
+    """doc_id, score (P(high quality)) and keep (score >= 0.5) of each row. Null, empty and blank texts score 0; rows that repeat are scored each; an empty table gives no rows; other columns aren't read."""
     small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +175,7 @@ def quality_scores(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 
 def good_documents(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model keeps, with all their columns."""
+    """The rows of docs that the model keeps, with all their columns. Null, empty and blank texts go; rows that repeat all stay or all go; an empty table gives no rows."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, small_batches
+from graphloom.llm.common import cut, forget, join_hot, small_batches
 from graphloom.llm.suffixes import common_prefixes, suffix_array
 from graphloom.llm.words import chunks, powers, splitmix
 
@@ -53,6 +53,34 @@ def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
+_P = (1 << 31) - 1
+_OTHER = (splitmix(np.arange(256, dtype=np.uint64) + _U(9000)) % _U(_P)).astype(np.uint64)
+_other_powers: list[np.ndarray] = []
+
+
+def prime_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As prefix_sums, but modulo the prime 2 ** 31 - 1 and over other values: strings that a polynomial modulo 2 ** 64 can't tell apart differ here."""
+    n = len(raw) + 1
+    if not _other_powers or len(_other_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        out = []
+        for base in (48_271, pow(48_271, -1, _P)):
+            p, have = np.ones(size, dtype=np.uint64), 1
+            while have < size:  # doubling: the second half is the first one times a power
+                p[have : 2 * have] = p[:have] * _U(pow(base, have, _P)) % _U(_P)
+                have *= 2
+            out.append(p)
+        _other_powers[:] = out
+    power, inverse = _other_powers[0][:n], _other_powers[1][:n]
+    sums = np.zeros(n, dtype=np.uint64)
+    np.cumsum(_OTHER[raw] * power[: len(raw)] % _U(_P), out=sums[1:])
+    return sums, inverse
+
+
+def prime_hash(sums: np.ndarray, inverse: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (sums[hi] - sums[lo]) % _U(_P) * inverse[lo] % _U(_P)
+
+
 def anchors(raw: np.ndarray, offsets: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, start, hash, segment start and end (in the text), and segment hash of each anchor. Texts under `least` bytes have none."""
     w = least - k + 1
@@ -82,7 +110,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, least: int, k: int) -> tuple[n
         at, text = at[keep], text[keep]
     lo = np.maximum(offsets[text], at + k - least)
     hi = np.minimum(offsets[text + 1], at + least)
-    s = splitmix(splitmix((sums[hi] - sums[lo]) * inverse[lo]) + (hi - lo).astype(np.uint64) * _U(1 << 20) + (at - lo).astype(np.uint64))
+    plain = splitmix((sums[hi] - sums[lo]) * inverse[lo]) ^ splitmix(prime_hash(*prime_sums(raw), lo, hi)) if len(at) else _RAW[:0]
+    s = splitmix(plain + (hi - lo).astype(np.uint64) * _U(1 << 20) + (at - lo).astype(np.uint64))
     base = offsets[text]
     return text, at - base, h[at], lo - base, hi - base, s
 
@@ -167,11 +196,13 @@ def repeated_passages(docs: DataFrame, least: int = 400, id_col: str = "doc_id",
                 yield pa.record_batch([*rows.columns[:3], pa.array(h.view(np.int64)), pa.array(at), pa.array(s.view(np.int64))], names=[*KEY, "h", "at", "s"])
 
     found = cut(keyed.select(*KEY, "text").mapInArrow(find, f"{_KEYED}, h long, at long, s long"), "anchors")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = cut(found.join(twice, "h"), "anchors2")
+    total = found.count()
+    twice = found.groupBy("h").agg(F.count("*").alias("of_h")).where("of_h > 1")
+    again = cut(join_hot(found, twice, ["h"], "of_h", total), "anchors2")
+    forget(found)
     equal = again.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
     kinds = equal.groupBy("h").agg(F.count("*").alias("kinds"))
-    told = again.join(equal, ["h", "s"]).join(kinds, "h")
+    told = join_hot(again.drop("of_h"), equal.join(kinds, "h"), ["h", "s"], "n", total)
     use = (F.col("kinds") > 1) & (F.struct(*KEY, "at") == F.col("one"))
     spot = F.struct("at", "h", (F.col("n") > 1).alias("whole"), use.alias("use"), (F.col("kinds") > BLOCK_SEGMENTS).alias("large"))
     listed = told.groupBy(*KEY).agg(F.collect_set(spot).alias("spots"))
@@ -216,10 +247,12 @@ def repeated_passages(docs: DataFrame, least: int = 400, id_col: str = "doc_id",
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sums, inverse = prefix_sums(np.frombuffer(row["seg"], dtype=np.uint8))
-                n = len(row["seg"]) - least + 1
-                plain = (sums[least:] - sums[:-least]) * inverse[:n]
-                yield pa.record_batch([pa.array([row[c]] * n, pa.int64()) for c in KEY] + [pa.array(row["lo"] + np.arange(n)), pa.array(splitmix(plain).view(np.int64)), pa.array(splitmix(plain + _U(9)).view(np.int64))], names=[*KEY, "lo", "a", "b"])
+                seg = np.frombuffer(row["seg"], dtype=np.uint8)
+                sums, inverse = prefix_sums(seg)
+                n = len(seg) - least + 1
+                plain = splitmix((sums[least:] - sums[:-least]) * inverse[:n])
+                other = prime_hash(*prime_sums(seg), np.arange(n), np.arange(n) + least)
+                yield pa.record_batch([pa.array([row[c]] * n, pa.int64()) for c in KEY] + [pa.array(row["lo"] + np.arange(n)), pa.array(plain.view(np.int64)), pa.array(other.view(np.int64))], names=[*KEY, "lo", "a", "b"])
 
     normal = pieces.where("not large").select(*KEY, "h", "lo", "seg").repartition("h").sortWithinPartitions("h")
     sorted_ = normal.mapInArrow(sort_blocks, f"{_KEYED}, lo long, hi long")

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, small_batches
 from graphloom.llm.labelmodel import fit, linear
-from graphloom.llm.words import _BYTE, chunks, powers, splitmix, word_spans
+from graphloom.llm.words import _BYTE, CHUNK_BYTES, chunks, powers, segments, splitmix, word_spans
 
 SAMPLE_ROWS = 16_000  # labelled rows that the model learns from, at most about
-VOCABULARY = 4_000
+VOCABULARY = 4_000  # features of the model: those with most gain in the sample's whole texts
 LEXICONS = 8
 PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)  # bytes
 KINDS = 1 + len(PREFIXES)
@@ -37,7 +37,19 @@ _AS_SPACE = np.where(_WORD_BYTE, np.arange(256), 32).astype(np.uint8)
 
 
 def text_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of all distinct pairs; words are runs of letters, digits and bytes over 127, in lower case. The kind of a feature is feature % KINDS."""
+    """(text, feature) of all distinct pairs; words are runs of letters, digits and bytes over 127, in lower case. The kind of a feature is feature % KINDS. Long texts are looked through by segments."""
+    pairs = [np.zeros((0, 2), dtype=np.uint64)]
+    for part, bounds, of in segments(raw, offsets, CHUNK_BYTES):
+        doc, f = _features(part, bounds)
+        pairs.append(np.stack([of[doc].astype(np.uint64), f], axis=1))
+    if len(pairs) == 2:
+        both = pairs[1]
+    else:
+        both = np.unique(np.concatenate(pairs), axis=0)
+    return both[:, 0].astype(np.int64), both[:, 1]
+
+
+def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = _AS_SPACE[raw]
     starts, ends = word_spans(raw, offsets)
     power, inverse = powers(len(raw) + 1)
@@ -66,7 +78,16 @@ def text_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def known_features(raw: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, index in the sorted vocabulary) of all distinct pairs."""
+    """(text, index in the sorted vocabulary) of all distinct pairs, in order. Long texts are looked through by segments."""
+    found = []
+    for part, bounds, of in segments(raw, offsets, CHUNK_BYTES):
+        doc, ix = _known(part, bounds, vocabulary)
+        found.append(of[doc] * max(1, len(vocabulary)) + ix)
+    pair = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+    return pair // max(1, len(vocabulary)), pair % max(1, len(vocabulary))
+
+
+def _known(raw: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = _AS_SPACE[raw]
     starts, ends = word_spans(raw, offsets)
     if not len(starts) or not len(vocabulary):
@@ -171,7 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row; null and empty texts get the score of a text without features. A null doc_id isn't held out."""
+    """doc_id, held_out, score, predicted of each row; null and empty texts get the score of a text without features. A null doc_id isn't held out. Rows that repeat are scored each; an empty table gives no rows; other columns aren't read."""
     small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

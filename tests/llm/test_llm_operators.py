@@ -197,6 +197,24 @@ def test_near_vectors_with_a_common_direction(spark):
     assert [r["n_links"] for r in near_vectors(df(few)).orderBy("vec_id").collect()] == ((few @ few.T >= 0.9).sum(axis=1) - 1).tolist()
 
 
+def test_recall_of_the_index(spark):
+    """Pairs at and over the threshold among 20,000 vectors, against brute force."""
+    from graphloom.llm.embeddings import near_vectors
+
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(10_000, 32)))
+    side = rng.normal(size=base.shape)
+    side = unit(side - (side * base).sum(axis=1, keepdims=True) * base)
+    c = rng.uniform(0.88, 0.99, size=(len(base), 1))
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * side]).astype(np.float32)
+    y = unit(x.astype(float))
+    want = np.concatenate([(y[k : k + 2000] @ y.T >= 0.9).sum(axis=1) - 1 for k in range(0, len(y), 2000)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df).collect()}
+    assert sum(got.values()) >= 0.95 * want.sum() > 8_000 and all(got[i] <= n for i, n in enumerate(want))
+
+
 def test_entropy_mix(spark, docs):
     from graphloom.llm.mixing import mix_report, mixed_documents
 
@@ -397,17 +415,249 @@ def test_toxicity(spark):
     assert toxicity_scores(docs.limit(0), fit_toxicity(docs.limit(0), labels)).count() == 0
 
 
+CLASHES = ["kept_doc_id", "KEPT_T1", "kept_n", "kept_words", "kept_a", "kept_b", "bad_rid", "mix_doc_id", "mix_h", "mix_source", "mix_copies", "mix_n", "mix_hash", "mix_k", "near_k", "kept_id", "mix_id", "t1", "t2", "src", "component", "leader"]
+
+
+def plain_components(documents):
+    """Component of each document (any hashable) by its set: the place of the first linked one."""
+    sets = [shingle_set(t) for t in documents]
+    at = list(range(len(sets)))
+    for _ in sets:
+        before = list(at)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    at[i] = at[j] = min(at[i], at[j])
+        if at == before:
+            break
+    return at
+
+
 def test_pipeline_stages(spark, docs, texts, tmp_path):
+    """Each stage against a plain version, with helper names of the code as columns, null identifiers, and two texts under one."""
     import corpus_pipeline
+    from graphloom.llm.mixing import mix_report
+    from graphloom.llm.quality import fit_quality, quality_scores
 
     w = texts[-18].split(" ")
     spark.createDataFrame([(1, " ".join(w[100:130]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    d = docs.where("doc_id is not null")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    two = [(3, "another text of the same identifier that nothing else is near to", None, "s1", 1), (None, "nameless text of its own for this very test", None, None, None)]
+    d = docs.unionByName(spark.createDataFrame(two, DOCS), allowMissingColumns=True).withColumns({c: F.lit(c) for c in CLASHES})
+    d = spark.createDataFrame(d.collect(), d.schema).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, x: stages[name](spark, x, str(tmp_path))
+    pairs = lambda x: sorted(((r["doc_id"], r["text"]) for r in x.collect()), key=str)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, d, str(tmp_path))
         assert out.schema == d.schema and out.count() > 0
+        assert all(r[c] == c for r in out.collect() for c in CLASHES)
         assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
-    kept = corpus_pipeline.STAGES[1][1](spark, d, str(tmp_path)).select("doc_id").collect()
-    assert len(kept) == len({r["doc_id"] for r in kept})
+    model = fit_quality(d)
+    keeps = Counter(r["doc_id"] for r in quality_scores(d, model).where("keep").collect())
+    assert Counter(i for i, _ in pairs(run("quality", d))) == keeps
+    # Near duplicates: of each component the document of smallest identifier; rows that repeat are one.
+    each = sorted({(i is None, i, t) for i, t in rows_of(d)}, key=lambda x: (x[0], x[1] or 0, x[2] or ""))
+    at = plain_components([t for *_, t in each])
+    got = Counter(pairs(run("near_duplicates", d)))
+    for k, (_, i, t) in enumerate(each):
+        n = sum((i, t) == x for x in rows_of(d))
+        if not shingle_set(t):
+            assert got.pop((i, t)) == n
+    groups = {}
+    for k, (_, i, t) in enumerate(each):
+        if shingle_set(t):
+            groups.setdefault(at[k], []).append((i, t))
+    for members in groups.values():
+        mine = [x for x in members if x in got]
+        assert len(mine) == 1 and got.pop(mine[0]) == 1 and mine[0][0] == members[0][0]
+    assert not got
+    # Decontamination: rows without the item. Mix: as many words of each source as the report says.
+    item = shingle_set(" ".join(w[100:130]))
+    assert pairs(run("decontaminate", d)) == sorted(((i, t) for i, t in rows_of(d) if 100 * len(shingle_set(t) & item) < 75 * len(item)), key=str)
+    want = Counter()
+    for r in mix_report(d).collect():
+        want[(r["doc_id"], r["size"], r["source"])] += r["copies"]
+    assert Counter((r["doc_id"], len(words(r["text"])), r["source"]) for r in run("mix", d).collect()) == +want
+    assert run("tokens", d).count() == d.count()
     d.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_structured_words_are_told_apart(spark):
+    """Words that a polynomial modulo 2 ** 64 maps to one value (Thue-Morse) differ here: shingles and repeated passages."""
+    from graphloom.llm.neardup import near_duplicates
+    from graphloom.llm.repeats import repeated_passages
+
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - b for b in bits]
+    a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    df = spark.createDataFrame([(1, f"{a} x y z w"), (2, f"{b} x y z w"), (3, f"{a[:1024]} q"), (4, f"{b[:1024]} q")], "doc_id long, text string")
+    assert all(r["kept"] for r in near_duplicates(df).collect())
+    for least in (60, 400):
+        rows = [(r["doc_id"], r["text"].encode()) for r in df.collect()]
+        count = Counter(t[k : k + least] for _, t in rows for k in range(len(t) - least + 1))
+        gone = {i: len({j for k in range(len(t) - least + 1) if count[t[k : k + least]] > 1 for j in range(k, k + least)}) for i, t in rows}
+        assert {r["doc_id"]: r["n_removed"] for r in repeated_passages(df, least).collect()} == gone
+
+
+def test_windows_of_long_texts_change_nothing():
+    import pyarrow as pa
+
+    from graphloom.llm import words as w
+    from graphloom.llm.quality import statistics
+    from graphloom.llm.toxicity import known_features, text_features
+
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("aBcé1!|") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 300))) for _ in range(40)] + ["x" * 5000, "", "  ", "a\n b"]
+    (_, _, raw, offsets), = w.chunks(pa.array(texts))
+    whole = w.words_of_texts(raw, offsets)
+    for size in (16, 100, 1000):
+        part = w.words_of_texts(raw, offsets, window=size)
+        assert (part[0] == whole[0]).all() and (part[1] == whole[1]).all()
+    doc, f = text_features(raw, offsets)
+    stats = statistics(raw, offsets)
+    kept, found = w.CHUNK_BYTES, np.unique(f)[::7]
+    known = known_features(raw, offsets, found)
+    pieces = [(bytes(p[x:y]), o) for p, b, of in w.segments(raw, offsets, 200, 1000) for o, x, y in zip(of, b[:-1], b[1:])]
+    assert ["".join(p.decode() for p, o in pieces if o == i) for i in range(len(texts))] == texts and all(len(p) <= 200 for p, _ in pieces)
+    try:
+        w.CHUNK_BYTES = 333
+        again = statistics(raw, offsets)
+        assert (again[0] == stats[0]).all() and np.allclose(again[1], stats[1]) and all((a == b).all() for x, y in zip(stats[2], again[2]) for a, b in zip(x, y))
+    finally:
+        w.CHUNK_BYTES = kept
+    from graphloom.llm import toxicity
+
+    kept = toxicity.CHUNK_BYTES
+    try:
+        toxicity.CHUNK_BYTES = 5001
+        d2, f2 = text_features(raw, offsets)
+        assert sorted(zip(doc.tolist(), f.tolist())) == sorted(zip(d2.tolist(), f2.tolist()))
+        assert all((x == y).all() for x, y in zip(known, known_features(raw, offsets, found)))
+    finally:
+        toxicity.CHUNK_BYTES = kept
+
+
+def test_label_model_against_enumeration():
+    """Posteriors, the dependency tree and a step of expectation-maximisation, by plain loops."""
+    from itertools import combinations, product
+
+    from graphloom.llm.labelmodel import LabelModel, _tree, fit
+
+    rng = np.random.default_rng(5)
+    kinds, n = 3, 4
+    votes = np.array(list(product(range(kinds), repeat=n)))
+    counts = rng.integers(1, 50, len(votes)).astype(float)
+    first = rng.uniform(0.05, 0.95, len(votes))
+    weight = np.stack([1 - first, first], axis=1) * counts[:, None]
+
+    def information(a, b):
+        total = 0.0
+        for y in (0, 1):
+            z = weight[:, y].sum()
+            for u, v in product(range(kinds), repeat=2):
+                joint = weight[(votes[:, a] == u) & (votes[:, b] == v), y].sum() / z
+                total += z * joint * np.log(joint / (weight[votes[:, a] == u, y].sum() / z * weight[votes[:, b] == v, y].sum() / z))
+        return total
+
+    def spans(edges):
+        seen = {0}
+        for _ in range(n):
+            seen |= {x for e in edges if seen & set(e) for x in e}
+        return len(seen) == n
+
+    best = max((sum(information(*e) for e in t), t) for t in combinations(combinations(range(n), 2), n - 1) if spans(t))
+    parent = _tree(votes, weight, kinds)
+    assert {tuple(sorted((k, p))) for k, p in enumerate(parent) if p >= 0} == set(best[1])
+    model = fit(votes, counts, first, kinds, tree=True, rounds=1)
+    for y in (0, 1):
+        assert np.isclose(model.prior[y], (weight[:, y].sum() + 1) / (counts.sum() + 2))
+    for j, p in enumerate(model.parent):
+        for y, u, v in product((0, 1), range(kinds), range(kinds)):
+            above = votes[:, p] == u if p >= 0 else np.full(len(votes), u == 0)
+            own = [weight[above & (votes[:, j] == x), y].sum() + 0.05 for x in range(kinds)]
+            assert np.isclose(model.tables[j][y, u, v], own[v] / sum(own))
+    got = model.posterior(votes)
+    for row, p1 in zip(votes, got):
+        likely = [model.prior[y] * np.prod([t[y, row[p] if p >= 0 else 0, row[j]] for j, (p, t) in enumerate(zip(model.parent, model.tables))]) for y in (0, 1)]
+        assert np.isclose(p1, likely[1] / sum(likely))
+    likelihood = lambda m: float(counts @ np.log(sum(m.prior[y] * np.prod([m.tables[j][y, votes[:, q] if q >= 0 else 0, votes[:, j]] for j, q in enumerate(m.parent)], axis=0) for y in (0, 1))))
+    runs = [likelihood(fit(votes, counts, first, kinds, rounds=k)) for k in (1, 3, 10, 40)]
+    assert all(b >= a - 1e-2 for a, b in zip(runs, runs[1:])) and isinstance(model, LabelModel)
+
+
+def test_labellers_and_scorers_against_plain_loops():
+    import pyarrow as pa
+
+    from graphloom.llm import quality, toxicity
+    from graphloom.llm.labelmodel import linear
+    from graphloom.llm.words import chunks
+
+    texts = ["SHOUT LOUD NOW! BUY! " * 8, "a | b | c", "the same the same the same the same the same", "An even sentence of plain prose, with nothing odd about it at all.", "", "x"]
+    (_, _, raw, offsets), = chunks(pa.array(texts))
+    count, stats, features = quality.statistics(raw, offsets)
+    column = dict(zip(quality.STATS, stats.T))
+    for i, t in enumerate(texts):
+        w, body = t.split(), t.replace(" ", "")
+        some, usual = len(w) + quality.SMOOTH, {k: quality.SMOOTH * x for k, x in quality.USUAL.items()}
+        letters = sum(c.isalpha() for c in t) + 5 * quality.SMOOTH
+        assert count[i] == len(w)
+        assert np.isclose(column["upper"][i], (sum(c.isupper() for c in t) + 5 * usual["upper"]) / letters)
+        assert np.isclose(column["symbol"][i], (sum(not c.isalnum() for c in body) + 5 * usual["symbol"]) / (len(body) + 5 * quality.SMOOTH))
+        assert np.isclose(column["distinct"][i], (len({x.lower() for x in w}) + usual["distinct"]) / some)
+        assert np.isclose(column["repeat"][i], sum(a.lower() == b.lower() for a, b in zip(w, w[1:])) / some)
+    votes = quality.labellers(count, stats)
+    assert votes[0, 0] == quality.LOW and votes[1, 2] == quality.LOW and votes[2, 4] == quality.NONE and (votes[3, 7:] == quality.HIGH).sum() >= 2
+    rng = np.random.default_rng(3)
+    model = quality.QualityModel(None, rng.normal(size=quality.SIZE).astype(np.float32), 0.3)
+    for s, (ix, x), n in zip(model.scores(raw, offsets), features, count):
+        z = 0.3 + sum(float(model.weights[k]) * float(v) for k, v in zip(ix, x))
+        assert np.isclose(s, 1 / (1 + np.exp(-z)) if n else 0.0, atol=1e-6)
+    vocabulary = np.unique(toxicity.text_features(raw, offsets)[1])[::3]
+    model = toxicity.ToxicityModel(vocabulary, rng.normal(size=len(vocabulary)), -0.2)
+    pairs = set(zip(*(x.tolist() for x in toxicity.text_features(raw, offsets))))
+    for i, s in enumerate(model.scores(raw, offsets)):
+        z = -0.2 + sum(model.weights[k] for k, f in enumerate(vocabulary.tolist()) if (i, f) in pairs)
+        assert np.isclose(s, 1 / (1 + np.exp(-z)))
+    # The classifier's gradient vanishes where it ends: soft targets are met on average for each feature.
+    rows = [np.array([0, 1]), np.array([1]), np.array([0]), np.array([1])]
+    w, b = linear(rows, [np.ones(len(r)) for r in rows], np.array([0.9, 0.2, 0.7, 0.3]), 2, l2=0.0, steps=4000)
+    p = [1 / (1 + np.exp(-(w[r].sum() + b))) for r in rows]
+    assert np.isclose(p[0] + p[2], 1.6, atol=0.02) and np.isclose(p[0] + p[1] + p[3], 1.4, atol=0.02)
+
+
+def test_every_language_is_learned(spark):
+    from graphloom.llm.langid import fit_crf, languages, training_spans
+
+    rng = random.Random(21)
+    words_of = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäéñøß") for _ in range(rng.randint(4, 8))) for _ in range(25)] for k in range(120)}
+    rows = [(i, " ".join(rng.choice(words_of[x]) for _ in range(30)), x) for i in range(1200) for x in [f"l{i % 120}"]]
+    rows += [rows[0], rows[0], (5000, " ".join(rng.choice(words_of["l7"]) for _ in range(40_000)), "l7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spans = training_spans(df)
+    assert len({x for x, _ in spans}) == 120 and max(len(t) for _, t in spans) > 10_000  # whole texts
+    got = languages(df, fit_crf(spans, steps=90)).collect()
+    truth = {i: x for i, _, x in rows}
+    assert len(got) == len(rows) and sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) >= 0.97 * len(got)
+    assert len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 0}) == 1
+
+
+def test_scores_of_equal_texts_are_equal(spark):
+    """Ties, repeated rows and a very long text in operators 6 and 10."""
+    from graphloom.llm.quality import fit_quality, quality_scores
+    from graphloom.llm.toxicity import fit_toxicity, toxicity_scores
+
+    rng = random.Random(31)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    same, long = prose(50), prose(300_000).translate(str.maketrans("abcdefg", "klmnopq")) + " vileword"
+    rows = [(i, prose(40) + (" vileword" if i % 4 == 0 else "")) for i in range(200)] + [(1000 + i, same) for i in range(5)] + [(7, same)] * 3 + [(2000, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    for out in (quality_scores(df, fit_quality(df)), toxicity_scores(df, fit_toxicity(df, labels))):
+        found = out.join(df.withColumn("same", F.col("text") == same).select("doc_id", "same").distinct(), "doc_id").where("same").collect()
+        assert len({r["score"] for r in found if r["doc_id"] >= 1000}) == 1
+        assert out.count() == len(rows) and all(0 <= r["score"] <= 1 for r in out.collect())
+    model = fit_toxicity(df, labels)
+    with_cue, without = (toxicity_scores(spark.createDataFrame([(1, t)], "doc_id long, text string"), model).first()["score"] for t in (long, long.removesuffix(" vileword")))
+    assert with_cue > without
