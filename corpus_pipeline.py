@@ -1,7 +1,8 @@
 """From raw documents to token shards: each stage keeps what the next one reads.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
-return the columns of docs, extra ones included. run() applies them to `documents`, with a Parquet table in the
+return the columns of docs, extra ones included, whatever their names. Null texts are empty ones, so they go with the
+quality stage; an empty table gives an empty one in each stage. run() applies them to `documents`, with a Parquet table in the
 shared folder between stages.
 """
 
@@ -9,13 +10,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from graphloom.llm.common import cut, table
 from graphloom.llm.decontam import decontaminated
 from graphloom.llm.mixing import mixed_documents
-from graphloom.llm.neardup import near_duplicates
+from graphloom.llm.neardup import deduplicated
 from graphloom.llm.quality import fit_quality, good_documents
 from graphloom.llm.sstable import token_shards
 
@@ -28,13 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id; one row of it if rows repeat. Rows without doc_id all stay: nothing tells them apart."""
-    found = near_duplicates(docs)
-    verdict = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept")
-    same = docs["doc_id"] == F.col("kept_id")
-    once, again = (docs.join(verdict.where(n).select(F.col("doc_id").alias("kept_id")), same, "left_semi") for n in ("n = 1", "n > 1"))
-    first = again.withColumn("near_k", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("near_k = 1").drop("near_k")
-    return once.unionByName(first).unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group: that with the smallest doc_id. Distinct texts under one doc_id, or without any, are different documents; of rows that repeat both one stays; texts without words all stay."""
+    return deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
