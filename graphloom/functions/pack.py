@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Pack:
+    # The patterns and lists that defaults hold.
     sentence_end: str = "。！？；"
     min_sentence: int = 6
     min_paragraph: int = 8
@@ -33,6 +34,25 @@ class Pack:
     excluded_types: tuple = ("NUMERIC_VALUE",)
     relation_names: dict = field(default_factory=dict)
     intents: tuple = ()
+    leads: dict = field(default_factory=dict)  # of answers, by intent; {a} and {b} are the entities
+    heading: str = r"^\d+(?:\.\d+){0,3}\s"  # of chunks, beside those that `chunk_chapter` finds
+    chunk_chapter: str = r"^第\s*[一二三四五六七八九十百0-9]+\s*章"
+    opening: str = "导言"  # label of chunks before any heading
+    body_label: str = "正文"  # of evidence without section and chapter
+    # Words of the dependency rules.
+    dependency_negations: tuple = ()
+    dependency_passives: tuple = ()
+    passive_bonus: tuple = ("manufactures", "develops", "uses_method")
+    particles: tuple = ()
+    particles_at_ends: tuple = ()
+    modals: tuple = ()
+    pronouns: tuple = ()
+    generic_heads: tuple = ()
+    vague_heads: tuple = ()  # regexes
+    prepositions: tuple = ()  # regexes
+    quantity: str = ""
+    own_script: str = r"[一-龥]"
+    type_guesses: tuple = ()  # (etype, regex) in order; the first that is found
 
 
 # Relation ontology, patterns and word lists of the Chinese pack.
@@ -106,7 +126,7 @@ TYPE_LABELS_ZH = {
     "ORGANIZATION": "组织机构", "PERSON": "人物", "TECHNOLOGY": "技术", "MATERIAL": "材料", "FLIGHT_PHASE": "飞行阶段", "EQUATION": "公式", "CONCEPT": "概念",
 }
 TYPE_PAIRS_ZH = (("AIRCRAFT", "PARAMETER"), ("AIRCRAFT", "PERFORMANCE_METRIC"), ("AIRCRAFT", "WING_CONFIGURATION"), ("AIRCRAFT", "MATERIAL"), ("AIRCRAFT", "STRUCTURAL_COMPONENT"), ("STRUCTURAL_COMPONENT", "MATERIAL"), ("PERSON", "ORGANIZATION"), ("TECHNOLOGY", "AIRCRAFT"))
-STOP_TERMS_ZH = tuple("是 为 在 有 无 其 之 者 部分 情况 状态 方式 方法 需要 需求 要求 影响 决定 可能 进而 因此 通过 使用 采用 利用 来自 之间 两者 三者 其他 其它 上述 下述 目前 近年 随着 随之 结果 结论 讨论 分析 研究 本文 本章 本节 公式 图表 表格 样品 单一 复杂".split())
+STOP_TERMS_ZH = ("是", "为", "在", "有", "无", "其", "之", "者", "部分", "情况", "状态", "方式", "方法", "需要", "需求", "要求", "影响", "决定", "可能", "进而", "因此", "通过", "使用", "采用", "利用", "来自", "之间", "两者", "三者", "其他", "其它", "上述", "下述", "目前", "近年", "随着", "随之", "结果", "结论", "讨论", "分析", "研究", "本文", "本章", "本节", "公式", "图表", "表格", "样品", "单一", "复杂")
 RELATION_NAMES_ZH = {
     "组成": "has_part", "包含": "has_part", "包括": "has_part", "产生": "generates", "造成": "causes", "导致": "causes", "影响": "affects", "减少": "reduces", "降低": "reduces", "增加": "increases", "提高": "improves", "提升": "improves",
     "改善": "improves", "属于": "is_a", "是一种": "instance_of", "位于": "located_at", "用于": "used_for", "等于": "equivalent_to", "定义为": "defined_as", "has": "has_part",
@@ -139,6 +159,48 @@ INTENTS_ZH = (
     ("SUMMARY", r"^(?:总结|概述|介绍)(.+?)(?:[\?？]|$)", None),
 )
 
+# Word lists and patterns of the dependency rules.
+PARTICLES_ZH = ("的", "了", "着", "过", "地", "得", "之", "且", "并", "及", "或", "和", "与")
+MODALS_ZH = ("会", "能", "能够", "可", "可以", "应", "应当", "应该", "需要", "必须")
+PRONOUNS_ZH = ("这", "这些", "那", "那些", "它", "它们", "他", "他们", "其", "本", "本节", "本章", "上述", "下述", "前述", "如下", "以下", "如上", "此外", "另外", "其中", "我们", "我", "你", "你们")
+GENERIC_HEADS_ZH = (
+    "研究内容", "本研究", "本工作", "本章", "本节", "本文", "结果", "结论", "讨论", "分析", "目标", "目的", "方法", "本方法", "过程", "中", "时", "前", "后", "上", "下", "内", "外", "情况", "状态", "方式", "情形", "条件",
+    "以上分析结果", "上述分析", "分析结果", "结果显示", "变体过程中", "研究过程中", "试验过程中", "仿真过程中",
+)
+VAGUE_HEADS_ZH = ("过程中$", "^于", "^以上", "^上述", "^下述", "^如下")
+PREPOSITIONS_ZH = (r"^(在|对|经|通过|借助|利用|采用|使用)[^一-龥A-Za-z]{0,5}", r"^(为|为了|因为|由于|根据|按照|依据|针对)[^一-龥A-Za-z]{0,5}")
+#: Guesses of a term's type, in order of precedence.
+TYPE_GUESSES_ZH = (
+    ("_DROP_", r"^.*\d+(?:\.\d+)?\s*(?:%|度|度/秒|度每秒|km/h|m/s|km|kg|kw|kW|t|g|m|cm|mm|s|ms|秒|N·m|Nm|N|万|倍|气|时|°C?|赫兹|Hz|公里|米|克|吨|公斤)$"),
+    ("PERSON", r"^[A-Z][a-zA-Z]{1,13}$"),
+    ("AIRCRAFT", r"^[A-Z]+\d+[A-Z]?$"),
+    ("WING_CONFIGURATION", "布局|构型|三维双翼|二维双翼"),
+    ("ORGANIZATION", "公司|集团|局|院|中心|研究所|实验室|NASA|DARPA|波音|空客|通用原子|Aeronautics|Boeing|Airbus"),
+    ("CONCEPT", "(?:前方|后方|上方|正上方|斜前方|斜后方|两端|顶部|底部|侧面|侧前方|侧后方|之间|中心)$"),
+    ("AIRCRAFT", "翼型"),
+    ("STRUCTURAL_COMPONENT", "翼肋|翼梁|蒙皮|桁架|翼板|副翼|翼面|翼根|翼尖|支柱|张线|U型槽|纵墙|长桁|主梁|铰链|嵌套网格|背景网格|对称面|端面|网格"),
+    ("PARAMETER", "弦长|翼展|间距|上反角|攻角|安装角|面积|弯度|梢根比|展弦比|翼展比|雷诺数|马赫数|动压|升力系数|阻力系数|升力线斜率|因子|压力|时间步长|重量|长度|扭矩|弯矩|速度|总时间|迭代次数|功率|角度|公转角度|最大|最小"),
+    ("AERODYNAMIC_CONCEPT", "升力|阻力|俯仰|偏航|滚转|失速|诱导阻力|干扰|下洗|上洗|涡|翼尖涡|气流|流动分离|压差|压区|高压区|低压区|气动"),
+    ("CONTROL_METHOD", "控制|反馈|PID|滑模|鲁棒|自适应控制|动力学建模"),
+    ("PERFORMANCE_METRIC", "航程|续航|巡航速度|升限|起降距离|载重|推重比|燃油效率"),
+    ("TECHNOLOGY", "方法|技术|算法|模型|理论|计算|仿真|网格法|RANS|URANS|DES|LES|CFD|FEM"),
+)
+#: First lines of answers.
+LEADS_ZH = {
+    "DEFINITION": "关于「{a}」是什么，知识图谱中给出的回答如下：",
+    "LIST_INSTANCE": "图谱中已收录的「{a}」类相关实体如下：",
+    "VALUE": "「{a}」的相关数值/取值信息：",
+    "CAUSE": "导致 / 影响「{a}」的因素：",
+    "EFFECT": "「{a}」会带来 / 影响的结果：",
+    "LOCATION": "「{a}」所处的位置 / 部位信息：",
+    "CHAPTER": "「{a}」在论文中被讨论的章节：",
+    "PROPERTY": "「{a}」的属性 / 参数信息：",
+    "RELATION": "「{a}」与「{b}」之间的关系：",
+    "SUMMARY": "图谱中关于「{a}」的关键信息汇总：",
+    "NEIGHBOR": "「{a}」的相关三元组：",
+    "UNKNOWN": "图谱中与「{a}」相关的信息：",
+}
+
 ZH = Pack(
     triggers=TRIGGERS_ZH,
     weak_triggers=("为", "是", "属于", "影响", "决定", "构成", "形成", "产生", "生成", "用于", "包括", "包含", "采用", "使用", "通过"),
@@ -156,6 +218,18 @@ ZH = Pack(
     stop_terms=STOP_TERMS_ZH,
     relation_names=RELATION_NAMES_ZH,
     intents=INTENTS_ZH,
+    leads=LEADS_ZH,
+    dependency_negations=("不", "未", "无", "没", "非", "勿", "莫", "毋"),
+    dependency_passives=("被", "由", "受"),
+    particles=PARTICLES_ZH,
+    particles_at_ends=(*PARTICLES_ZH, "，", "。", "；", "：", "、", " "),
+    modals=MODALS_ZH,
+    pronouns=PRONOUNS_ZH,
+    generic_heads=GENERIC_HEADS_ZH,
+    vague_heads=VAGUE_HEADS_ZH,
+    prepositions=PREPOSITIONS_ZH,
+    quantity=rf"^\s*\d+(?:\.\d+)?\s*(?:{UNITS_ZH})?\s*$",
+    type_guesses=TYPE_GUESSES_ZH,
 )
 
 #: For the test tables: a heading is a line of one capitalised word; short words of the four languages are triggers.

@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.pack import ZH, Pack
 
+try:
+    import ahocorasick
+except ImportError:  # optional
+    ahocorasick = None
+
 MENTIONS = "array<struct<text:string,start:int,end:int,etype:string>>"
-#: A vocabulary is sent to all executors; beyond this many terms match it in several passes of terms.
-MOST_TERMS = 2_000_000
+#: A vocabulary of up to this many terms is sent to all executors (some tens of MB); a larger one is joined.
+MOST_TERMS = 1_000_000
+MOST_AUTOMATON = 200_000
 
 
 def dedup_overlap(found: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
@@ -26,40 +32,42 @@ def dedup_overlap(found: list[tuple[str, int, int, str]]) -> list[tuple[str, int
     return out
 
 
-def matcher(terms: Iterable[str], pack: Pack = ZH, numeric: bool = True, codes: bool = True, dedup: bool = True) -> Callable[[str], list[tuple[str, int, int, str]]]:
-    """All (overlapping) places of the terms of two characters or more, by a hash set for each length, filtered by first two characters; then codes and measures."""
+def _occurrences(terms: Iterable[str]) -> Callable[[str], list[tuple[str, int, int, str]]]:
+    """All (overlapping) places of the terms of two characters or more: by an automaton where that library is there and terms aren't too many for it, else by a hash set for each length, filtered by first two characters."""
     known = {t for t in terms if len(t) >= 2}
+    if ahocorasick is not None and known and len(known) <= MOST_AUTOMATON:
+        automaton = ahocorasick.Automaton()
+        for t in known:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+        return lambda text: [(t, e + 1 - len(t), e + 1, "vocab") for e, t in automaton.iter(text)]
     lengths: dict[str, list[int]] = {}
     for t in sorted(known, key=lambda t: (-len(t), t)):
         of = lengths.setdefault(t[:2], [])
         if len(t) not in of:
             of.append(len(t))
-    code, measures = re.compile(pack.code), [re.compile(p) for p in pack.measures]
+    return lambda text: [(t, i, i + n, "vocab") for i in range(len(text) - 1) for n in lengths.get(text[i : i + 2], ()) if (t := text[i : i + n]) in known]
+
+
+def matcher(terms: Iterable[str], pack: Pack = ZH, numeric: bool = True, codes: bool = True, dedup: bool = True) -> Callable[[str], list[tuple[str, int, int, str]]]:
+    """Places of the terms, then of codes and of measures; overlaps told by dedup_overlap, or all in order of (start, longest first)."""
+    places = _occurrences(terms)
+    others = [(re.compile(p), kind) for p, kind in [(pack.code, "aircraft_code")] * codes + [(p, "numeric") for p in pack.measures] * numeric]
 
     def match(text: str) -> list[tuple[str, int, int, str]]:
-        found = []
-        for i in range(len(text) - 1):
-            for n in lengths.get(text[i : i + 2], ()):
-                if (t := text[i : i + n]) in known:
-                    found.append((t, i, i + n, "vocab"))
-        if codes:
-            found += [(m[0], m.start(), m.end(), "aircraft_code") for m in code.finditer(text)]
-        if numeric:
-            found += [(m[0], m.start(), m.end(), "numeric") for p in measures for m in p.finditer(text)]
+        found = places(text) + [(m[0], m.start(), m.end(), kind) for p, kind in others for m in p.finditer(text)]
+        if len(found) < 2:
+            return found
         return dedup_overlap(found) if dedup else sorted(found, key=lambda m: (m[1], m[1] - m[2]))
 
     return match
 
 
-def _broadcast(spark: SparkSession, vocabulary: DataFrame) -> list:
-    """The distinct terms, in broadcast parts of MOST_TERMS at most."""
+def shared_terms(spark: SparkSession, vocabulary: DataFrame):
+    """The distinct terms as a broadcast list, or None if there are over MOST_TERMS."""
     terms = vocabulary.select("term").where("length(term) >= 2").distinct()
-    n = terms.count()
-    parts = max(1, -(-n // MOST_TERMS))
-    if parts == 1:
-        return [spark.sparkContext.broadcast([r["term"] for r in terms.collect()])]
-    of = terms.withColumn("p", F.pmod(F.hash("term"), F.lit(parts)))
-    return [spark.sparkContext.broadcast([r["term"] for r in of.where(F.col("p") == k).collect()]) for k in range(parts)]
+    found = terms.limit(MOST_TERMS + 1).collect()
+    return None if len(found) > MOST_TERMS else spark.sparkContext.broadcast([r["term"] for r in found])
 
 
 def _finder(terms, pack: Pack, numeric: bool, codes: bool, dedup: bool):
@@ -67,31 +75,42 @@ def _finder(terms, pack: Pack, numeric: bool, codes: bool, dedup: bool):
 
     @F.pandas_udf(MENTIONS)
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        match = matcher(terms.value, pack, numeric, codes, dedup)
+        match = matcher(terms.value if terms else (), pack, numeric, codes, dedup)
+        key = ("text", "start", "end", "etype")
         for s in texts:
-            yield s.fillna("").map(lambda t: [dict(zip(("text", "start", "end", "etype"), m, strict=True)) for m in match(t)])
+            yield s.fillna("").map(lambda t: [dict(zip(key, m)) for m in match(t)])
 
     return find
 
 
-def with_mentions(sentences: DataFrame, vocabulary: DataFrame, pack: Pack = ZH, numeric: bool = True, codes: bool = True, dedup: bool = True) -> DataFrame:
-    """sentences with a column mentions, in order of start."""
-    out = sentences
-    shared = _broadcast(sentences.sparkSession, vocabulary)
-    for k, terms in enumerate(shared):
-        one = len(shared) == 1
-        out = out.withColumn(f"mentions_{k}", _finder(terms, pack, numeric and k == 0, codes and k == 0, dedup and one)("text"))
-    cols = [f"mentions_{k}" for k in range(len(shared))]
-    if len(cols) == 1:
-        return out.withColumnRenamed(cols[0], "mentions")
+def _by_join(sentences: DataFrame, vocabulary: DataFrame, pack: Pack, numeric: bool, codes: bool, dedup: bool) -> DataFrame:
+    """The same for any number of terms: places and terms meet by their first two characters."""
+    terms = vocabulary.select("term").where("length(term) >= 2").distinct()
+    longest = terms.agg(F.max(F.length("term")).alias("n")).first()["n"]
+    cols = sentences.columns
+    numbered = sentences.withColumn("row_", F.monotonically_increasing_id()).withColumn("other_", _finder(None, pack, numeric, codes, False)("text"))
+    spots = numbered.where("length(text) > 1").select("row_", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("i"))
+    spots = spots.select("row_", "i", F.substring("text", F.col("i"), F.lit(longest)).alias("ahead")).withColumn("two", F.substring("ahead", 1, 2))
+    hit = spots.join(terms.withColumn("two", F.substring("term", 1, 2)), "two").where(F.startswith("ahead", F.col("term")))
+    place = F.struct(F.col("term").alias("text"), (F.col("i") - 1).cast("int").alias("start"), (F.col("i") - 1 + F.length("term")).cast("int").alias("end"), F.lit("vocab").alias("etype"))
+    listed = hit.groupBy("row_").agg(F.collect_list(place).alias("vocab_"))
 
     @F.pandas_udf(MENTIONS)
     def fold(all_: pd.Series) -> pd.Series:
         key = ("text", "start", "end", "etype")
-        one = lambda ms: [tuple(m[k] for k in key) for m in ms]
-        return all_.map(lambda ms: [dict(zip(key, m, strict=True)) for m in (dedup_overlap(one(ms)) if dedup else sorted(one(ms), key=lambda m: (m[1], m[1] - m[2])))])
+        order = lambda ms: sorted((tuple(m[k] for k in key) for m in ms), key=lambda m: (m[3] != "vocab", m[1], m[1] - m[2]))
+        return all_.map(lambda ms: [dict(zip(key, m)) for m in (dedup_overlap(order(ms)) if dedup else sorted(order(ms), key=lambda m: (m[1], m[1] - m[2])))])
+
+    both = numbered.join(listed, "row_", "left")
+    return both.withColumn("mentions", fold(F.concat(F.coalesce("vocab_", F.array().cast(MENTIONS)), "other_"))).select(*cols, "mentions")
 
-    return out.withColumn("mentions", fold(F.flatten(F.array(*cols)))).drop(*cols)
+
+def with_mentions(sentences: DataFrame, vocabulary: DataFrame, pack: Pack = ZH, numeric: bool = True, codes: bool = True, dedup: bool = True) -> DataFrame:
+    """sentences with a column mentions, in order of start. Up to MOST_TERMS terms are broadcast; more are joined."""
+    terms = shared_terms(sentences.sparkSession, vocabulary)
+    if terms is None:
+        return _by_join(sentences, vocabulary, pack, numeric, codes, dedup)
+    return sentences.withColumn("mentions", _finder(terms, pack, numeric, codes, dedup)("text"))
 
 
 def exploded(mentioned: DataFrame) -> DataFrame:

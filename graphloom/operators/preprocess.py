@@ -1,9 +1,11 @@
-"""Text to paragraphs, sentences, chunks and chapter texts. Shuffles: one on the document, for running places."""
+"""Text to paragraphs, sentences, chunks and chapter texts. Running chapters, sections and numbers are found within a document's row, so texts aren't shuffled."""
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -11,21 +13,39 @@ from graphloom.functions.pack import ZH, Pack
 from graphloom.functions.text import clean_text, strip
 
 
-def paragraphs(docs: DataFrame, pack: Pack = ZH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _lines(text: Column, pack: Pack, fix_sections: bool) -> Column:
+    """Array of (text, chapter, section: whether the line is a heading of that kind) of the lines that aren't blank. With fix_sections headings are told before blanks are dropped, where a section number still has its space."""
+    raw = F.split(clean_text(text, pack.drop_spaces and not fix_sections), "\n")
+    told = F.transform(F.transform(raw, strip), lambda x: F.struct(x.alias("raw"), (clean_text(x, pack.drop_spaces) if fix_sections else x).alias("text")))
+    kind = lambda x: F.struct(x["text"].alias("text"), x["text"].rlike(pack.chapter).alias("chapter"), (x["raw"].rlike(pack.section) & ~x["text"].rlike(pack.chapter)).alias("section"))
+    return F.filter(F.transform(told, kind), lambda x: x["text"] != "")
+
+
+def _last_before(places: Column, i: Column) -> Column:
+    """The greatest of ascending places that isn't over i; -1 without one."""
+    return F.coalesce(F.array_max(F.filter(places, lambda p: p <= i)), F.lit(-1))
+
+
+def _placed(docs: DataFrame, pack: Pack, id_col: str, text_col: str, fix_sections: bool) -> DataFrame:
+    """doc_id and paras: array of (chapter, section, text) of a document's paragraphs. All within the row: nothing is shuffled."""
+    lined = docs.select(F.col(id_col).alias("doc_id"), _lines(F.col(text_col), pack, fix_sections).alias("lines"))
+    places = lambda kind: F.filter(F.transform("lines", lambda x, i: F.when(x[kind], i)), lambda i: i.isNotNull())
+    marked = lined.withColumns({"chapters": places("chapter"), "sections": places("section")})
+    body = F.filter(F.transform("lines", lambda x, i: F.when(~x["chapter"] & ~x["section"] & (F.length(x["text"]) >= pack.min_paragraph), F.struct(i.alias("i"), x["text"].alias("text")))), lambda x: x.isNotNull())
+    at = F.transform(body, lambda x: F.struct(x["text"].alias("text"), _last_before(F.col("chapters"), x["i"]).alias("c"), _last_before(F.col("sections"), x["i"]).alias("s")))
+    line = lambda i: F.get(F.col("lines"), i)["text"]
+    paras = F.transform("at", lambda x: F.struct(F.when(x["c"] >= 0, line(x["c"])).otherwise("").alias("chapter"), F.when(x["s"] > x["c"], line(x["s"])).otherwise("").alias("section"), x["text"].alias("text")))
+    return marked.withColumn("at", at).select("doc_id", paras.alias("paras"))
+
+
+def paragraphs(docs: DataFrame, pack: Pack = ZH, id_col: str = "doc_id", text_col: str = "text", fix_sections: bool = False) -> DataFrame:
     """doc_id, paragraph_id, chapter, section, text: the lines of at least pack.min_paragraph characters.
 
     A line that is a chapter heading sets the chapter of later lines and clears the section, a section heading sets the
-    section; neither is a paragraph. Numbers start at 0 in each document. One partition holds one document.
+    section; neither is a paragraph. Where blanks are dropped a section heading has lost the space that its pattern
+    asks for and so counts as a paragraph, unless fix_sections. Numbers start at 0 in each row of docs.
     """
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(clean_text(F.col(text_col), pack.drop_spaces), "\n")).alias("line", "raw"))
-    lines = lines.withColumn("text", strip(F.col("raw"))).where("text <> ''").drop("raw")
-    is_chapter = F.col("text").rlike(pack.chapter)
-    is_section = F.col("text").rlike(pack.section) & ~is_chapter
-    run = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    told = lines.withColumns({"head": is_chapter, "chapter": F.coalesce(F.last(F.when(is_chapter, F.col("text")), ignorenulls=True).over(run), F.lit("")), "section": F.coalesce(F.last(F.when(is_chapter, F.lit("")).when(is_section, F.col("text")), ignorenulls=True).over(run), F.lit(""))})
-    body = told.where(~F.col("head") & ~is_section & (F.length("text") >= pack.min_paragraph))
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy("line")) - 1
-    return body.select("doc_id", number.alias("paragraph_id"), "chapter", "section", "text")
+    return _placed(docs, pack, id_col, text_col, fix_sections).select("doc_id", F.posexplode("paras").alias("paragraph_id", "p")).select("doc_id", "paragraph_id", "p.*")
 
 
 def split_sentences(text, pack: Pack = ZH):
@@ -34,30 +54,64 @@ def split_sentences(text, pack: Pack = ZH):
     return F.filter(F.transform(parts, strip), lambda x: F.length(x) >= pack.min_sentence)
 
 
+def document_sentences(docs: DataFrame, pack: Pack = ZH, id_col: str = "doc_id", text_col: str = "text", fix_sections: bool = False) -> DataFrame:
+    """Documents to sentences, numbered in each row of docs after short ones are dropped; nothing is shuffled."""
+    told = lambda p, k: F.transform(split_sentences(p["text"], pack), lambda s: F.struct(k.alias("paragraph_id"), p["chapter"].alias("chapter"), p["section"].alias("section"), s.alias("text")))
+    all_ = F.flatten(F.transform("paras", told))
+    each = _placed(docs, pack, id_col, text_col, fix_sections).select("doc_id", F.posexplode(all_).alias("sentence_id", "s"))
+    return each.select("doc_id", "s.paragraph_id", "s.chapter", "s.section", "sentence_id", "s.text")
+
+
 def sentences(paras: DataFrame, pack: Pack = ZH) -> DataFrame:
-    """paragraphs() to sentences with a running sentence_id in each document (after short ones are dropped)."""
+    """A table of paragraphs() to sentences with a running sentence_id in each document. From documents, document_sentences() gives the same without a shuffle."""
     each = paras.withColumn("all", split_sentences(F.col("text"), pack))
     start = F.coalesce(F.sum(F.size("all")).over(W.partitionBy("doc_id").orderBy("paragraph_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return each.withColumn("start", start).select("doc_id", "paragraph_id", "chapter", "section", "start", F.posexplode("all").alias("k", "text")).select("doc_id", "paragraph_id", "chapter", "section", (F.col("start") + F.col("k")).alias("sentence_id"), "text")
 
 
-def chunks(paras: DataFrame, target: int = 1800) -> DataFrame:
-    """Paragraphs of a section packed in order to about target characters: doc_id, section, label (`section #k`), text. Packing is sequential, so a section is one group."""
+def chunks(docs: DataFrame, target: int = 1800, pack: Pack = ZH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, chunk_id, label, text: the lines of each section packed in order to about `target` characters.
 
-    def pack_lines(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, size = [], [], 0
-        for t in pdf.sort_values("paragraph_id")["text"]:
-            if held and size + len(t) > target:
-                out.append("\n".join(held))
-                held, size = [], 0
-            held.append(t)
-            size += len(t)
-        out.append("\n".join(held))
-        first = pdf.iloc[0]
-        return pd.DataFrame({"doc_id": first["doc_id"], "section": first["section"], "label": [f"{first['section']} #{k}" for k in range(1, len(out) + 1)], "text": out})
-
-    kind = dict(paras.dtypes)["doc_id"]
-    return paras.select("doc_id", "section", "paragraph_id", "text").groupBy("doc_id", "section").applyInPandas(pack_lines, f"doc_id {kind}, section string, label string, text string")
+    Chapter and section headings begin a section and label it (60 characters at most); lines before any are labelled
+    pack.opening. A section of several chunks has ` #1`, ` #2`, ... but its label alone if it is one chunk. Blank lines
+    go, other lines stay as they are. Packing is sequential within a section, so a document is worked on in its row.
+    """
+    chapter, heading = re.compile(pack.chunk_chapter), re.compile(pack.heading)
+
+    def sections(text: str):
+        label, held = pack.opening, []
+        for line in text.splitlines():
+            bare = line.strip()
+            if chapter.match(bare) or heading.match(bare):
+                yield label, held
+                label, held = bare[:60], []
+            elif bare:
+                held.append(line)
+        yield label, held
+
+    def packed(lines: list[str]) -> list[str]:
+        out: list[list[str]] = []
+        size = target
+        for line in lines:
+            if not out or size + len(line) > target:
+                out.append([])
+                size = 0
+            out[-1].append(line)
+            size += len(line)
+        return ["\n".join(x) for x in out]
+
+    @F.pandas_udf("array<struct<label:string,text:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> list[dict]:
+            out = []
+            for label, lines in sections(text or ""):
+                parts = packed(lines)
+                out += [{"label": label if len(parts) == 1 else f"{label} #{k}", "text": t} for k, t in enumerate(parts, 1)]
+            return out
+
+        return texts.map(one)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(cut(F.col(text_col))).alias("chunk_id", "c")).select("doc_id", "chunk_id", "c.label", "c.text")
 
 
 def chapter_texts(paras: DataFrame, most: int | None = None) -> DataFrame:

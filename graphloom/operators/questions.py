@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from graphloom.functions.pack import ZH, Pack
 from graphloom.functions.text import strip
 from graphloom.operators import graph
-from graphloom.operators.mentions import _broadcast, matcher
+from graphloom.operators.mentions import with_mentions
 
 # Relations that each intent looks up, how many rows it returns, and the words of answers.
 PROPERTIES = ("has_part", "has_parameter", "has_performance", "has_configuration", "has_value", "has_property", "uses_material", "made_of")
@@ -22,6 +22,9 @@ CAUSES = ("causes", "reduces", "improves", "affects", "leads_to", "generates")
 VALUES = ("has_value", "greater_than_value", "less_than_value", "equals_to", "approximately")
 FALLBACKS = ("has_part", "used_for", "develops", "applied_to")
 LIMITS = {"DEFINITION": 8, "LIST_INSTANCE": 15, "VALUE": 8, "CAUSE": 10, "EFFECT": 10, "LOCATION": 8, "CHAPTER": 8, "PROPERTY": 12, "RELATION": 15, "SUMMARY": 15, "NEIGHBOR": 12, "UNKNOWN": 12}
+NO_TRIPLE, EVIDENCE = "（图谱中暂无直接三元组，请参考下方原文证据）", "原文佐证："
+NOTHING = ("未在知识图谱与论文中找到与「", "」直接相关的内容。请尝试更换关键词，或在左侧切换为「全局浏览」模式查看可用实体。")
+NO_ENTITY = "没有从问题中识别到任何领域实体。建议把要查的实体写明确，例如：「全球鹰 是多少」"
 TRAILING, LEADING = "?？.。、!！,，;；:：", " 请问帮我"
 
 
@@ -37,34 +40,68 @@ def intent(c: Column, pack: Pack = ZH) -> Column:
     return reduce(lambda out, p: F.when(c.rlike(p[1]), pick(p[0], p[2])).otherwise(out), reversed(pack.intents), pick("UNKNOWN", None))
 
 
+def _clean(q: str) -> str:
+    return q.strip().rstrip(TRAILING).lstrip(LEADING).strip()
+
+
 def parse_questions(questions: DataFrame, entities: DataFrame, pack: Pack = ZH) -> DataFrame:
-    """With q (cleaned), intent, relation and entities: mentions in order, without repeats; the longest entity within each captured group comes first."""
+    """With q (cleaned), intent, relation and entities: mentions in order, without repeats; before them, of each captured group in turn, its longest entity (ties: the smallest) that isn't there yet."""
     regexes = [re.compile(p) for _, p, _ in pack.intents]
-    parts = _broadcast(questions.sparkSession, entities.select(F.col("entity").alias("term")))
     told = questions.withColumn("q", clean_question(F.col("question"))).withColumn("i", intent(F.col("q"), pack)).select("*", "i.*").drop("i")
 
     @F.pandas_udf("array<string>")
-    def find(qs: pd.Series) -> pd.Series:
-        match = matcher([t for p in parts for t in p.value], pack, numeric=False)
-        inside = matcher([t for p in parts for t in p.value], pack, numeric=False, codes=False, dedup=False)
-
+    def groups(qs: pd.Series) -> pd.Series:
         def one(q: str) -> list[str]:
-            found = list(dict.fromkeys(m[0] for m in match(q)))
             hit = next((m for m in (r.search(q) for r in regexes) if m), None)
-            first = []
-            for g in hit.groups() if hit else ():
-                best = min(((-len(m[0]), m[0]) for m in inside(strip_py(g or ""))), default=None)
-                if best and best[1] not in first:
-                    first.append(best[1])
-            return first + [x for x in found if x not in first]
+            return [_clean(g) for g in hit.groups() if g and g not in "?？"] if hit else []
 
         return qs.map(one)
 
-    return told.withColumn("entities", find("q"))
-
+    vocabulary = entities.select(F.col("entity").alias("term"))
+    found = with_mentions(told.withColumnRenamed("q", "text"), vocabulary, pack, numeric=False).withColumnsRenamed({"mentions": "found", "text": "q"})
+    inside = with_mentions(found.withColumn("groups", groups("q")).withColumn("text", F.array_join("groups", "\n")), vocabulary, pack, numeric=False, codes=False, dedup=False)
 
-def strip_py(s: str) -> str:
-    return s.strip()
+    @F.pandas_udf("array<string>")
+    def order(found: pd.Series, text: pd.Series, inside: pd.Series) -> pd.Series:
+        def one(found, text: str, inside) -> list[str]:
+            first: list[str] = []
+            at = 0
+            for g in text.split("\n"):
+                within = sorted({m["text"] for m in inside if at <= m["start"] and m["end"] <= at + len(g)}, key=lambda t: (-len(t), t))
+                first += [t for t in within if t not in first][:1]
+                at += len(g) + 1
+            return list(dict.fromkeys([*first, *(m["text"] for m in found)]))
+
+        return pd.Series([one(*x) for x in zip(found, text, inside)])
+
+    return inside.withColumn("entities", order("found", "text", "mentions")).select(*told.columns, "entities")
+
+
+# What each intent looks up, as (intent, side of the entity, relations, priority); lower priorities are fallbacks.
+LOOKUPS = (
+    ("DEFINITION", "out", ("instance_of", "is_a"), 0),
+    *(("DEFINITION", "out", (r,), k) for k, r in enumerate(FALLBACKS, 1)),
+    ("LIST_INSTANCE", "in", ("instance_of",), 0),
+    ("VALUE", "out", VALUES, 0),
+    ("CAUSE", "in", CAUSES, 0),
+    ("EFFECT", "out", CAUSES, 0),
+    ("LOCATION", "out", ("located_at",), 0),
+    ("CHAPTER", "out", ("discussed_in",), 0),
+    ("PROPERTY", "out", PROPERTIES, 1),
+)
+ALL_EDGES = ("SUMMARY", "NEIGHBOR", "UNKNOWN")
+#: Intents that look for the relation of the question's pattern where it has one: side, and whether the list above is for others only.
+HINTED = {"CAUSE": "in", "EFFECT": "out", "PROPERTY": "out"}
+
+
+def _priority() -> Column:
+    """Of (kind, side, rel, relation): one look-up in a literal map, so the expression stays small."""
+    table = {f"{k}|{side}|{r}": n for k, side, rels, n in LOOKUPS for r in rels}
+    known = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[F.concat_ws("|", "kind", "side", "rel")]
+    kind, hint = F.col("kind"), F.col("relation")
+    asked = reduce(lambda a, kv: a | ((kind == kv[0]) & (F.col("side") == kv[1])), HINTED.items(), F.lit(False)) & (F.col("rel") == hint)
+    only = kind.isin("CAUSE", "EFFECT") & hint.isNotNull()
+    return F.when(kind.isin(*ALL_EDGES) | asked, 0).when(~only, known)
 
 
 def retrieve(parsed: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
@@ -77,30 +114,21 @@ def retrieve(parsed: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFram
     q = parsed.select("qid", "intent", "relation", F.get("entities", F.lit(0)).alias("a"), F.get("entities", F.lit(1)).alias("b")).where("a is not null")
     q = q.withColumn("kind", F.when((F.col("intent") == "RELATION") & F.col("b").isNull(), "NEIGHBOR").otherwise(F.col("intent")))
     e = graph.best_of_key(edges).select("head", F.col("relation").alias("rel"), "tail", "score")
-    ends = e.select("*", F.col("head").alias("at"), F.lit("out").alias("side")).unionByName(e.select("*", F.col("tail").alias("at"), F.lit("in").alias("side")))
-    hit = q.where("kind <> 'RELATION'").join(ends, F.col("a") == F.col("at"))
-    k, rel, side = F.col("kind"), F.col("rel"), F.col("side")
-    out, into = side == "out", side == "in"
-    fallback = reduce(lambda o, x: F.when(rel == x[1], x[0] + 1).otherwise(o), reversed(list(enumerate(FALLBACKS))), F.lit(None).cast("int"))
-    wanted = F.when(F.col("relation").isNull(), rel.isin(list(CAUSES))).otherwise(rel == F.col("relation"))
-    priority = (
-        F.when(k == "DEFINITION", F.when(out & rel.isin("instance_of", "is_a"), 0).when(out, fallback))
-        .when(k == "LIST_INSTANCE", F.when(into & (rel == "instance_of"), 0))
-        .when(k == "VALUE", F.when(out & rel.isin(list(VALUES)), 0))
-        .when(k == "CAUSE", F.when(into & wanted, 0))
-        .when(k == "EFFECT", F.when(out & wanted, 0))
-        .when(k == "LOCATION", F.when(out & (rel == "located_at"), 0))
-        .when(k == "CHAPTER", F.when(out & (rel == "discussed_in"), 0))
-        .when(k == "PROPERTY", F.when(out & (rel == F.col("relation")), 0).when(out & rel.isin(list(PROPERTIES)), 1))
-        .otherwise(F.lit(0))
-    )
+    end = F.explode(F.array(F.struct(F.col("head").alias("at"), F.lit("out").alias("side")), F.struct(F.col("tail").alias("at"), F.lit("in").alias("side"))))
+    ends = e.select("*", end.alias("end")).select("*", "end.*").drop("end")
     cols = ["qid", "intent", "kind", "priority", "head", "rel", "tail", "score"]
-    looked = hit.withColumn("priority", priority).where("priority is not null").select(*cols)
-    # LIST_INSTANCE falls back to tails that hold the entity: only for questions without an exact row.
+    hit = q.where("kind <> 'RELATION'").join(ends, F.col("a") == F.col("at"))
+    looked = hit.withColumn("priority", _priority()).where("priority is not null").select(*cols)
+    # LIST_INSTANCE falls back to tails that hold the entity, for questions without an exact row: their substrings of asked lengths, by equality.
     bare = q.where("kind = 'LIST_INSTANCE'").join(looked.select("qid").distinct(), "qid", "left_anti")
-    part = bare.join(e.where("rel = 'instance_of'"), F.contains(F.col("tail"), F.col("a"))).withColumn("priority", F.lit(1)).select(*cols)
+    sizes = [r["n"] for r in q.where("kind = 'LIST_INSTANCE'").select(F.length("a").alias("n")).distinct().collect()]  # as many as names have lengths
+    tails = e.where("rel = 'instance_of'").select("tail").distinct().select("tail", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n")).where(F.col("n") < F.length("tail"))
+    held = tails.select("tail", F.explode(F.transform(F.sequence(F.lit(1), F.length("tail") - F.col("n") + 1), lambda i: F.substring(F.col("tail"), i, F.col("n")))).alias("a")).distinct()
+    part = bare.join(held, "a").join(e.where("rel = 'instance_of'"), "tail").withColumn("priority", F.lit(1)).select(*cols)
     two = q.where("kind = 'RELATION'")
-    straight = two.join(e, ((F.col("a") == F.col("head")) & (F.col("b") == F.col("tail"))) | ((F.col("b") == F.col("head")) & (F.col("a") == F.col("tail")))).withColumn("priority", F.lit(0)).select(*cols)
+    ahead = two.join(e, (F.col("a") == F.col("head")) & (F.col("b") == F.col("tail")))
+    back = two.where("a <> b").join(e, (F.col("b") == F.col("head")) & (F.col("a") == F.col("tail")))
+    straight = ahead.withColumn("priority", F.lit(0)).select(*cols).unionByName(back.withColumn("priority", F.lit(1)).select(*cols))
     far = two.join(straight.select("qid").distinct(), "qid", "left_anti")
     found = graph.paths(edges, far.select(F.col("a").alias("source"), F.col("b").alias("target")).distinct(), max_hops, 4)
     found = found.withColumn("path", F.row_number().over(W.partitionBy("source", "target").orderBy("hops", "nodes"))).select("source", "target", "path", F.posexplode("steps").alias("k", "s"))
@@ -128,37 +156,50 @@ def related_triples(parsed: DataFrame, edges: DataFrame, answers: DataFrame, lim
 
 def evidence(parsed: DataFrame, sentences: DataFrame, limit: int = 6) -> DataFrame:
     """Sentences (sid, text) of each question: with both entities, shortest of the first 12 by sid, for RELATION (or half for each); else with the first one, by sid."""
-    from graphloom.operators.search import search_terms
+    from graphloom.operators.search import term_places
 
     q = parsed.select("qid", "intent", F.get("entities", F.lit(0)).alias("a"), F.get("entities", F.lit(1)).alias("b")).where("a is not null")
     terms = q.select(F.explode(F.array_compact(F.array("a", "b"))).alias("term")).distinct()
-    found = search_terms(sentences, terms, limit=1 << 30)
     two = (F.col("intent") == "RELATION") & F.col("b").isNotNull()
-    one = found.select(F.col("term").alias("a"), "sid", "text")
-    both = q.where(two).join(one, "a").join(found.select(F.col("term").alias("b"), "sid"), ["b", "sid"])
-    both = both.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy("sid"))).where(F.col("n") <= 2 * limit)
-    both = both.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.length("text"), "sid"))).where(F.col("rank") <= limit).select("qid", "rank", "sid", "text")
+    # Pairs: places alone (no texts) of the terms of such questions; texts join what is chosen.
+    paired = q.where(two).select(F.explode(F.array("a", "b")).alias("term")).distinct()
+    places = term_places(sentences, paired).select("term", "sid", "n")
+    both = q.where(two).join(places.select(F.col("term").alias("a"), "sid", "n"), "a").join(places.select(F.col("term").alias("b"), "sid"), ["b", "sid"])
+    both = both.withColumn("k", F.row_number().over(W.partitionBy("qid").orderBy("sid"))).where(F.col("k") <= 2 * limit)
+    both = both.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("n", "sid"))).where(F.col("rank") <= limit).select("qid", "rank", "sid")
     rest = q.join(both.select("qid").distinct(), "qid", "left_anti").withColumn("each", F.when(two, F.array("a", "b")).otherwise(F.array("a")))
-    single = rest.select("qid", F.posexplode("each").alias("k", "term"), F.size("each").alias("n")).join(found, "term")
+    few = term_places(sentences, terms, limit).select("term", "sid")
+    single = rest.select("qid", F.posexplode("each").alias("k", "term"), F.size("each").alias("n")).join(few, "term")
     per = W.partitionBy("qid", "k").orderBy("sid")
     single = single.withColumn("r", F.row_number().over(per)).where(F.col("r") <= F.floor(F.lit(limit) / F.col("n")))
-    single = single.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("k", "sid"))).select("qid", "rank", "sid", "text")
-    return both.unionByName(single)
+    single = single.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("k", "sid"))).select("qid", "rank", "sid")
+    kept = [c for c in ("text", "section", "chapter") if c in sentences.columns]
+    return both.unionByName(single).join(sentences.select("sid", *kept), "sid").select("qid", "rank", "sid", *kept)
 
 
-def answers_text(parsed: DataFrame, rows: DataFrame, evidence_rows: DataFrame | None = None, rewrite: Callable[[str], str] | None = None) -> DataFrame:
-    """qid, answer: a lead, at most 12 bullets and 3 sentences; a note for questions without entity. `rewrite` is an optional function of the text (an Arrow UDF calls it)."""
-    bullet = F.format_string("- %s %s %s (%.2f)", "head", "relation", "tail", "score")
-    items = F.sort_array(F.collect_list(F.when(F.col("rank") <= 12, F.struct("rank", bullet.alias("line")))))
-    lists = rows.groupBy("qid").agg(F.transform(items, lambda x: x["line"]).alias("bullets"))
-    out = parsed.select("qid", "intent", F.get("entities", F.lit(0)).alias("a")).join(lists, "qid", "left")
+def answers_text(parsed: DataFrame, rows: DataFrame, evidence_rows: DataFrame | None = None, rewrite: Callable[[str], str] | None = None, pack: Pack = ZH, related: DataFrame | None = None) -> DataFrame:
+    """qid, answer, note, related: the intent's lead, at most 12 triples and 3 sentences with their section or chapter; what to do without an entity; other edges of the first entity. `rewrite` is an optional function of the text (an Arrow UDF calls it)."""
+    line = F.format_string("(%s —%s→ %s)", "head", "relation", "tail")
+    items = F.sort_array(F.collect_list(F.when(F.col("rank") <= 12, F.struct("rank", line.alias("line")))))
+    listed = lambda df, name: df.groupBy("qid").agg(F.transform(items, lambda x: x["line"]).alias(name))
+    out = parsed.select("qid", "intent", "q", "question", F.get("entities", F.lit(0)).alias("a"), F.get("entities", F.lit(1)).alias("b")).join(listed(rows, "bullets"), "qid", "left")
     if evidence_rows is not None:
-        quotes = F.sort_array(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "text"))))
-        out = out.join(evidence_rows.groupBy("qid").agg(F.transform(quotes, lambda x: F.concat(F.lit("> "), x["text"])).alias("quotes")), "qid", "left")
+        has = evidence_rows.columns
+        place = F.coalesce(*(F.nullif(strip(F.col(c)), F.lit("")) for c in ("section", "chapter") if c in has), F.lit(pack.body_label))
+        quotes = F.sort_array(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", F.concat(F.lit("["), place, F.lit("] "), "text").alias("line")))))
+        out = out.join(evidence_rows.groupBy("qid").agg(F.transform(quotes, lambda x: x["line"]).alias("quotes")), "qid", "left")
     else:
-        out = out.withColumn("quotes", F.array().cast("array<string>"))
-    lead = F.when(F.col("a").isNull(), "No entity of the graph was found in the question.").when(F.col("bullets").isNull(), F.concat(F.lit("Nothing is known of "), "a")).otherwise(F.concat("intent", F.lit(": "), "a"))
-    out = out.select("qid", F.concat_ws("\n", lead, F.array_join("bullets", "\n"), F.array_join("quotes", "\n")).alias("answer"))
+        out = out.withColumn("quotes", F.lit(None).cast("array<string>"))
+    out = out.join(listed(related, "related"), "qid", "left") if related is not None else out.withColumn("related", F.lit(None).cast("array<string>"))
+    filled = lambda lead: F.replace(F.replace(F.lit(lead), F.lit("{a}"), F.coalesce("a", F.lit(""))), F.lit("{b}"), F.coalesce("b", F.lit("")))
+    leads = pack.leads or ZH.leads
+    lead = reduce(lambda o, kv: F.when(F.col("intent") == kv[0], filled(kv[1])).otherwise(o), [x for x in leads.items() if x[0] != "UNKNOWN"], filled(leads["UNKNOWN"]))
+    lines = lambda c, mark: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(mark), x))
+    bullets = F.when(F.col("bullets").isNull(), F.array(F.lit(f"  • {NO_TRIPLE}"))).otherwise(lines("bullets", "  • "))
+    proofs = F.when(F.col("quotes").isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit(""), F.lit(EVIDENCE)), lines("quotes", "  · ")))
+    nothing = F.concat(F.lit(NOTHING[0]), F.coalesce("a", "question"), F.lit(NOTHING[1]))
+    answer = F.when(F.col("bullets").isNull() & F.col("quotes").isNull(), nothing).otherwise(F.array_join(F.concat(F.array(lead), bullets, proofs), "\n"))
+    out = out.select("qid", answer.alias("answer"), F.when(F.col("a").isNull(), F.lit(NO_ENTITY)).alias("note"), F.coalesce("related", F.array().cast("array<string>")).alias("related"))
     if rewrite is None:
         return out
 

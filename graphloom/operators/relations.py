@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -113,11 +114,13 @@ def trigger_triples(mentioned: DataFrame, pack: Pack = ZH, max_window: int = 30,
     return _triples(first_of_sentence(kept.withColumnsRenamed({"text": "sentence"}).withColumn("score", F.round("raw", 3))), "trigger")
 
 
-def _flat(sentences: DataFrame, find, source: str) -> DataFrame:
-    """Triples of a function text -> [(head, relation, tail, trigger, score)] over sentences, the first of equal ones in each."""
+def _flat(sentences: DataFrame, terms, make, source: str) -> DataFrame:
+    """Triples of a function text -> [(head, relation, tail, trigger, score)], which make(TermFinder) gives once a task, over sentences; the first of equal ones in each."""
 
     @F.pandas_udf("array<struct<head:string,relation:string,tail:string,trigger:string,score:double>>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = make(TermFinder(terms_of(terms)))
+
         def one(text: str) -> list[dict]:
             seen, out = set(), []
             for t in find(text or ""):
@@ -126,12 +129,18 @@ def _flat(sentences: DataFrame, find, source: str) -> DataFrame:
                     out.append(dict(zip(("head", "relation", "tail", "trigger", "score"), t, strict=True)))
             return out
 
-        return texts.map(one)
+        for texts in batches:
+            yield texts.map(one)
 
     rows = sentences.withColumn("found", run("text")).select("doc_id", "chapter", "sentence_id", F.col("text").alias("sentence"), F.posexplode("found").alias("ord", "t"))
     return _triples(rows.select("chapter", "sentence_id", "sentence", F.col("ord").cast("long").alias("ord"), "t.*"), source)
 
 
+def terms_of(terms) -> list[str]:
+    """A list of terms, or what a broadcast variable holds."""
+    return terms.value if hasattr(terms, "value") else terms
+
+
 class TermFinder:
     """Vocabulary terms within a short fragment."""
 
@@ -157,116 +166,46 @@ class TermFinder:
         return min(((-len(t), t) for _, t in self.within(fragment)), default=(0, None))[1]
 
 
-def pattern_triples(sentences: DataFrame, terms: list[str], pack: Pack = ZH, back: int = 12, ahead: int = 16, list_parts: int = 4) -> DataFrame:
+def pattern_triples(sentences: DataFrame, terms, pack: Pack = ZH, back: int = 12, ahead: int = 16, list_parts: int = 4) -> DataFrame:
     """Templates: the right-most term before a match and the left-most after it (of each list part); pair templates take the tail from within."""
-    finder = TermFinder(terms)
     plain = [(re.compile(p), *rest) for p, *rest in pack.patterns]
     pairs = [(re.compile(p), *rest) for p, *rest in pack.pair_patterns]
     separators = re.compile(f"[{re.escape(pack.list_separators)}]")
 
-    def find(text: str):
-        for regex, relation, name, lists in plain:
-            for m in regex.finditer(text):
-                head, rest = finder.right_most(text[max(0, m.start() - back) : m.start()]), text[m.end() : m.end() + ahead]
-                parts = [x for x in separators.split(rest) if x.strip()][:list_parts] if lists else [rest]
-                for tail in map(finder.left_most, parts):
+    def make(finder: TermFinder):
+        def find(text: str):
+            for regex, relation, name, lists in plain:
+                for m in regex.finditer(text):
+                    head, rest = finder.right_most(text[max(0, m.start() - back) : m.start()]), text[m.end() : m.end() + ahead]
+                    parts = [x for x in separators.split(rest) if x.strip()][:list_parts] if lists else [rest]
+                    for tail in map(finder.left_most, parts):
+                        if head and tail and head != tail:
+                            yield head, relation, tail, name, 0.82
+            for regex, relation, name in pairs:
+                for m in regex.finditer(text):
+                    head, tail = finder.right_most(text[max(0, m.start() - back) : m.start()]), finder.left_most(m[1])
                     if head and tail and head != tail:
-                        yield head, relation, tail, name, 0.82
-        for regex, relation, name in pairs:
-            for m in regex.finditer(text):
-                head, tail = finder.right_most(text[max(0, m.start() - back) : m.start()]), finder.left_most(m[1])
-                if head and tail and head != tail:
-                    yield head, relation, tail, name, 0.85
+                        yield head, relation, tail, name, 0.85
 
-    return _flat(sentences, find, "pattern")
+        return find
 
+    return _flat(sentences, terms, make, "pattern")
 
-def numeric_triples(sentences: DataFrame, terms: list[str], pack: Pack = ZH) -> DataFrame:
+
+def numeric_triples(sentences: DataFrame, terms, pack: Pack = ZH) -> DataFrame:
     """Quantities stated of a term: (term, has_value and the like, number with unit)."""
-    finder = TermFinder(terms)
     regexes = [(re.compile(p), r) for p, r in pack.numeric]
 
-    def find(text: str):
-        for regex, relation in regexes:
-            for m in regex.finditer(text):
-                if head := finder.resolve(m["head"]):
-                    yield head, relation, m["num"].replace(" ", "") + (m["unit"] or ""), "numeric", 0.78
-
-    return _flat(sentences, find, "numeric")
-
-
-def dependency_triples(parsed: DataFrame, terms: list[str], pack: Pack = ZH, rule: str = "svo", min_score: float = 0.0) -> DataFrame:
-    """Triples from a parse (column tokens: array<struct<i,text,pos,dep,head>> of any annotator; without one there are none).
-
-    rule `svo`: subjects left of a verb with objects right of it, predicate normalised, score 0.62. rule `dep`: its
-    subjects (or those of the nearest ancestor that has some) with its objects; negation lowers the score, passives swap
-    the ends; copulas give has_value (0.72) for digits, else is_a (0.66).
-    """
-    finder = TermFinder(terms)
-    names = {**pack.relation_names, **{t: r for t, r in reversed(ordered_triggers(pack))}}
-    subjects, objects = {"nsubj", "nsubjpass", "nsubj:pass", "top"}, {"dobj", "obj", "pobj", "attr", "oprd"}
-
-    def relation(word: str) -> str | None:
-        return names.get(word) or next((r for t, r in ordered_triggers(pack) if t in word), None)
-
-    def find(tokens):
-        kids: dict[int, list] = {}
-        by = {t["i"]: t for t in tokens}
-        for t in tokens:
-            if t["head"] != t["i"]:
-                kids.setdefault(t["head"], []).append(t)
-
-        def subtree(t) -> str:
-            todo, out = [t], []
-            while todo:
-                x = todo.pop()
-                out.append(x)
-                todo += kids.get(x["i"], [])
-            return "".join(x["text"] for x in sorted(out, key=lambda x: x["i"]))
-
-        def entity(t) -> str | None:
-            return finder.resolve(t["text"]) or finder.resolve(subtree(t))
-
-        for v in tokens:
-            mine = kids.get(v["i"], [])
-            subj, obj = [t for t in mine if t["dep"] in subjects], [t for t in mine if t["dep"] in objects]
-            if rule == "svo":
-                subj, obj = [t for t in subj if t["i"] < v["i"]], [t for t in obj if t["i"] > v["i"]]
-            else:
-                up, steps = v, 0
-                while not subj and up["head"] != up["i"] and up["head"] in by and steps < len(tokens):
-                    up, steps = by[up["head"]], steps + 1
-                    subj = [t for t in kids.get(up["i"], []) if t["dep"] in subjects]
-            if rule == "dep" and any(t["dep"] == "cop" for t in mine):
-                for s in subj:
-                    h, t = entity(s), finder.resolve(v["text"])
-                    digits = any(c.isdigit() for c in v["text"])
-                    if h and (digits or t) and h != (t or v["text"]):
-                        yield h, "has_value" if digits else "is_a", v["text"] if digits else t, v["text"], 0.72 if digits else 0.66
-            if v["pos"] not in ("VERB", "AUX") or not (r := relation(v["text"])):
-                continue
-            negated = any(t["dep"] == "neg" or t["text"] in pack.negations for t in mine)
-            passive = any("pass" in t["dep"] for t in mine)
-            for s in subj:
-                for o in obj:
-                    h, t = entity(s), entity(o)
-                    if not h or not t or h == t:
-                        continue
-                    h, t = (t, h) if rule == "dep" and passive and r in pack.passive_relations else (h, t)
-                    score = 0.62 if rule == "svo" else max(0.05, 0.62 - 0.30 * negated + 0.05 * (len(h) >= 3) + 0.05 * (len(t) >= 3))
-                    if score >= min_score:
-                        yield h, r, t, v["text"], round(score, 3)
-
-    @F.pandas_udf("array<struct<head:string,relation:string,tail:string,trigger:string,score:double>>")
-    def run(all_: pd.Series) -> pd.Series:
-        def one(tokens) -> list[dict]:
-            found = {t[:3]: t for t in reversed(list(find(list(tokens if tokens is not None else []))))}
-            return [dict(zip(("head", "relation", "tail", "trigger", "score"), t, strict=True)) for t in reversed(found.values())]
+    def make(finder: TermFinder):
+        def find(text: str):
+            for regex, relation in regexes:
+                for m in regex.finditer(text):
+                    if head := finder.resolve(m["head"]):
+                        yield head, relation, m["num"].replace(" ", "") + (m["unit"] or ""), "numeric", 0.78
 
-        return all_.map(one)
+        return find
 
-    rows = parsed.withColumn("found", run("tokens")).select("chapter", "sentence_id", F.col("text").alias("sentence"), F.posexplode("found").alias("ord", "t"))
-    return _triples(rows.select("chapter", "sentence_id", "sentence", F.col("ord").cast("long").alias("ord"), "t.*"), rule)
+    return _flat(sentences, terms, make, "numeric")
 
 
 def cooccurring(mentions: DataFrame, vocabulary: DataFrame, pack: Pack = ZH) -> DataFrame:

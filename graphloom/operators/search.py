@@ -34,18 +34,25 @@ def search_pair(sentences: DataFrame, a: str, b: str, limit: int = 10) -> DataFr
     return search_all(sentences, a, b, limit=2 * limit).orderBy(F.length("text"), "sid").limit(limit)
 
 
-def search_terms(sentences: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
-    """For each of a small table of terms(term) its first `limit` sentences: term, sid, text; matched by the mention automaton, not by a join of all pairs."""
+def term_places(sentences: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
+    """For each of a table of terms(term) the sentences that hold it (the first `limit` by sid): term, sid, n (length of the sentence); matched by the mention automaton, not by a join of all pairs. Texts don't travel."""
     from pyspark.sql import Window as W
 
     from graphloom.functions.pack import Pack
-    from graphloom.operators.mentions import exploded, with_mentions
+    from graphloom.operators.mentions import with_mentions
 
-    found = exploded(with_mentions(sentences.select("sid", "text"), terms, Pack(), numeric=False, codes=False, dedup=False))
-    each = found.select(F.col("mention").alias("term"), "sid", "text").distinct()
+    found = with_mentions(sentences.select("sid", "text"), terms, Pack(), numeric=False, codes=False, dedup=False)
+    each = found.select("sid", F.length("text").alias("n"), F.explode(F.array_distinct(F.transform("mentions", lambda m: m["text"]))).alias("term"))
+    if limit is None:
+        return each
     return each.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy("sid"))).where(F.col("rank") <= limit)
 
 
+def search_terms(sentences: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
+    """For each of a table of terms(term) its first `limit` sentences: term, sid, text, rank."""
+    return term_places(sentences, terms, limit).select("term", "sid", "rank").join(sentences.select("sid", "text"), "sid")
+
+
 def close_matches(entities: DataFrame, seed: str, n: int = 6, cutoff: float = 0.4) -> DataFrame:
     """entity, ratio of the n entities most similar to seed by matching blocks (ties: greatest name first)."""
 

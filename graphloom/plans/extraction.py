@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.pack import ZH, Pack
-from graphloom.operators import evaluate, mentions, merge, preprocess, questions, relations
+from graphloom.operators import dependency, evaluate, mentions, merge, preprocess, questions, relations
 
 
 @dataclass(frozen=True)
@@ -44,18 +44,20 @@ class Extraction(NamedTuple):
 def extract(docs: DataFrame, vocabulary: DataFrame, config: ExtractionConfig = ExtractionConfig()) -> Extraction:
     """docs(doc_id, text) and vocabulary(term, etype) to edges. Mentions are found once; scores are gated before the merge, filtered after it; observed entities come from all candidates, filtered or not."""
     pack = config.pack
-    sents = preprocess.sentences(preprocess.paragraphs(docs, pack), pack)
+    sents = preprocess.document_sentences(docs, pack)
     mentioned = mentions.with_mentions(sents, vocabulary, pack, config.numeric, config.codes).persist()
     flat = mentions.exploded(mentioned)
     parts = [relations.trigger_triples(mentioned, pack, config.max_window, config.gate, config.neighbours)]
-    terms = [r["term"] for r in vocabulary.select("term").distinct().collect()]  # the dictionary, as the matcher has it
+    terms = mentions.shared_terms(docs.sparkSession, vocabulary)
+    if terms is None and (config.annotator or pack.patterns or pack.numeric):
+        raise ValueError(f"pattern, numeric and dependency rules take {mentions.MOST_TERMS} terms at most")
     if config.patterns and (pack.patterns or pack.pair_patterns):
         parts.append(relations.pattern_triples(sents, terms, pack))
     if config.numeric and pack.numeric:
         parts.append(relations.numeric_triples(sents, terms, pack))
     if config.annotator:
         parsed = config.annotator(sents)
-        parts += [relations.dependency_triples(parsed, terms, pack, rule, config.gate) for rule in config.dependency_rules]
+        parts += [dependency.dependency_triples(parsed, terms, pack, rule, config.gate) for rule in config.dependency_rules]
     if config.chapters:
         parts.append(relations.chapter_triples(flat, vocabulary, config.min_chapter_mentions, list(config.chapter_types) or None))
     candidates = parts[0]
@@ -90,10 +92,10 @@ def evaluate_graph(pred: DataFrame, gold: DataFrame, pack: Pack = ZH, aliases: D
     return Evaluation(evaluate.levels(p, g), evaluate.partial_prf(p, g), rows, evaluate.macro_f1(rows), evaluate.confusions(p, g), evaluate.marked(p, g, evaluate.KEY))
 
 
-def answer(asked: DataFrame, edges: DataFrame, sentences: DataFrame | None = None, pack: Pack = ZH, rewrite: Callable[[str], str] | None = None) -> DataFrame:
-    """asked(qid, question) to (qid, answer), all questions at once."""
+def answer(asked: DataFrame, edges: DataFrame, sentences: DataFrame | None = None, pack: Pack = ZH, rewrite: Callable[[str], str] | None = None, max_hops: int = 3) -> DataFrame:
+    """asked(qid, question) to (qid, answer, note, related), all questions at once."""
     edges = edges.persist()  # look-ups and paths name them many times: the plan would hold each
     parsed = questions.parse_questions(asked, merge.entities(edges), pack).persist()
-    rows = questions.retrieve(parsed, edges)
+    rows = questions.retrieve(parsed, edges, max_hops).persist()
     quotes = questions.evidence(parsed, sentences) if sentences is not None else None
-    return questions.answers_text(parsed, rows, quotes, rewrite)
+    return questions.answers_text(parsed, rows, quotes, rewrite, pack, questions.related_triples(parsed, edges, rows))

@@ -31,7 +31,7 @@ def _docs(spark, d):
 
 
 def _sentences(spark, d):
-    return preprocess.sentences(preprocess.paragraphs(_docs(spark, d), LATIN), LATIN)
+    return preprocess.document_sentences(_docs(spark, d), LATIN)
 
 
 def _vocabulary(spark, d):
@@ -67,7 +67,7 @@ def p5_sentences(spark, d):
 
 @query()
 def p6_chunks(spark, d):
-    return preprocess.chunks(preprocess.paragraphs(_docs(spark, d), LATIN))
+    return preprocess.chunks(_docs(spark, d), pack=LATIN).withColumn("text", F.md5("text"))
 
 
 @query(f"WITH {_PARAS} SELECT doc_id, chapter, md5(string_agg(text, chr(10) ORDER BY paragraph_id)) AS text FROM paras GROUP BY doc_id, chapter")

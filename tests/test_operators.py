@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.pack import ZH
 from graphloom.functions.text import clean_text, is_pure_number, score_of
-from graphloom.operators import curate, evaluate, graph, mentions, merge, preprocess, questions, relations, search
+from graphloom.operators import curate, dependency, evaluate, graph, mentions, merge, preprocess, questions, relations, search
 from graphloom.sources import files
 
 TERMS = ["折叠翼", "升阻比", "机翼", "副翼", "翼展", "活动机翼", "作动器"]
@@ -38,8 +38,11 @@ def test_paragraphs_and_sentences(spark):
     assert [(r["doc_id"], r["paragraph_id"], r["chapter"], r["section"]) for r in rows] == [(1, 0, "第4章气动", ""), (1, 1, "第4章气动", "")]
     got = preprocess.sentences(preprocess.paragraphs(docs)).orderBy("sentence_id").collect()
     assert [(r["sentence_id"], r["text"]) for r in got] == [(0, "1.1研究背景与意义内容"), (1, "甲甲甲甲甲甲甲。"), (2, "丙丙丙丙丙丙丙！")]
-    parts = preprocess.chunks(preprocess.paragraphs(docs), target=12).orderBy("label").collect()
-    assert [p["label"] for p in parts] == [" #1", " #2"]
+    fixed = preprocess.paragraphs(docs, fix_sections=True).collect()
+    assert [(r["chapter"], r["section"], r["text"]) for r in fixed] == [("第4章气动", "1.1研究背景与意义内容", "甲甲甲甲甲甲甲。乙；丙丙丙丙丙丙丙！")]
+    assert preprocess.document_sentences(docs).collect() == preprocess.sentences(preprocess.paragraphs(docs)).collect()
+    long = spark.createDataFrame([(1, "前言\n\n第 1 章 绪论\n1234\n56789\n0\n2.1 方法\n  ab\n第 1 章 绪论\nz"), (2, None)], "doc_id long, text string")
+    assert [(r["label"], r["text"]) for r in preprocess.chunks(long, target=9).orderBy("chunk_id").collect()] == [("导言", "前言"), ("第 1 章 绪论 #1", "1234\n56789"), ("第 1 章 绪论 #2", "0"), ("2.1 方法", "  ab"), ("第 1 章 绪论", "z")]
     assert preprocess.chapter_texts(preprocess.paragraphs(docs), 5).first()["text"] == "1.1研究"
 
 
@@ -77,7 +80,7 @@ def test_dependencies(spark):
     schema = "doc_id long, chapter string, sentence_id int, text string, tokens array<struct<i:int,text:string,pos:string,dep:string,head:int>>"
     parsed = spark.createDataFrame([(1, "", 0, "机翼采用副翼", tokens), (1, "", 1, "", None)], schema)
     for rule in ("svo", "dep"):
-        assert [(r["head"], r["relation"], r["tail"]) for r in relations.dependency_triples(parsed, TERMS, rule=rule).collect()] == [("机翼", "uses_method", "副翼")]
+        assert [(r["head"], r["relation"], r["tail"]) for r in dependency.dependency_triples(parsed, TERMS, rule=rule).collect()] == [("机翼", "uses_method", "副翼")]
     assert value(spark, relations.normalize_predicate(F.lit("被研制出"))) == "manufactures"
     assert value(spark, relations.normalize_predicate(F.lit("跑"))) == "related_to"
 
@@ -163,10 +166,13 @@ def test_answers(spark):
     edges = spark.createDataFrame([("机翼", "instance_of", "部件", 0.9), ("机翼", "has_part", "副翼", 0.8), ("副翼", "located_at", "后缘", 0.7)], "head string, relation string, tail string, score double")
     asked = spark.createDataFrame([(1, "机翼是什么？"), (2, "后缘和机翼的联系"), (3, "没有实体"), (4, "副翼是什么"), (5, "列举部")], "qid long, question string")
     sents = spark.createDataFrame([(1, "机翼很长"), (2, "机翼后缘有副翼")], "sid long, text string")
-    got = {r["qid"]: r["answer"] for r in answer(asked, edges, sents).collect()}
-    assert "instance_of 部件" in got[1] and "> 机翼很长" in got[1]
-    assert "has_part" in got[2] and "located_at" in got[2] and "> 机翼后缘有副翼" in got[2]
-    assert got[3].startswith("No entity") and got[4].startswith("Nothing")
+    rows = {r["qid"]: r for r in answer(asked, edges, sents).collect()}
+    got = {k: r["answer"] for k, r in rows.items()}
+    assert got[1] == "关于「机翼」是什么，知识图谱中给出的回答如下：\n  • (机翼 —instance_of→ 部件)\n\n原文佐证：\n  · [正文] 机翼很长\n  · [正文] 机翼后缘有副翼"
+    assert rows[1]["related"] == ["(机翼 —has_part→ 副翼)"] and rows[1]["note"] is None
+    assert got[2].startswith("「后缘」与「机翼」之间的关系：\n  • (副翼 —located_at→ 后缘)\n  • (机翼 —has_part→ 副翼)") and got[2].endswith("  · [正文] 机翼后缘有副翼")
+    assert got[3].startswith("未在知识图谱与论文中找到与「没有实体」") and rows[3]["note"].startswith("没有从问题中")
+    assert got[4] == "关于「副翼」是什么，知识图谱中给出的回答如下：\n  • （图谱中暂无直接三元组，请参考下方原文证据）\n\n原文佐证：\n  · [正文] 机翼后缘有副翼"
 
 
 def test_answers_over_the_whole_commerce_graph(spark, tmp_path):
@@ -194,7 +200,7 @@ def test_answers_over_the_whole_commerce_graph(spark, tmp_path):
     got = {r["qid"]: r["answer"] for r in queries.q16_answers(spark, str(tmp_path)).collect()}
     for name in [*nations.values(), *(s for s, _ in suppliers.values()), *(x for p, t, _ in parts.values() for x in (p, t))]:
         mine = sorted((e for e in edges if name in (e[0], e[2])), key=lambda e: (-e[3], e[1], e[0], e[2]))
-        assert got[f"{name}-4"].split("\n") == [f"SUMMARY: {name}", *(f"- {h} {r} {t} ({x:.2f})" for h, r, t, x in mine[:12])]
+        assert got[f"{name}-4"].split("\n") == [f"图谱中关于「{name}」的关键信息汇总：", *(f"  • ({h} —{r}→ {t})" for h, r, t, x in mine[:12])]
     assert "provides" in got["Supplier0-4"]
 
 
