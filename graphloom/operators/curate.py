@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from graphloom.functions.pack import ZH, Pack
+from graphloom.functions.text import strip
+from graphloom.sources.shared import written
+
 KEY = ["head", "relation", "tail"]
 # What counts as a value or a number in names.
 VALUE_LIKE = r"%|倍|m/s|N·m|N/m|km/h|kg|m\^2|°|/"
@@ -19,13 +25,26 @@ def numberish(c: Column) -> Column:
     return c.rlike(NUMBERISH) | c.rlike(YEAR)
 
 
+def substrings(names: DataFrame, column: str, longest: int) -> DataFrame:
+    """Each name with its substrings of up to `longest` characters: (column, part)."""
+    n = F.explode(F.sequence(F.lit(1), F.least(F.length(column), F.lit(longest)))).alias("n")
+    sized = names.where((F.length(column) > 0) & (F.lit(longest) > 0)).select(column, n)
+    return sized.select(column, F.explode(F.transform(F.sequence(F.lit(1), F.length(column) - F.col("n") + 1), lambda i: F.substring(F.col(column), i, F.col("n")))).alias("part"))
+
+
 def align_gold(gold: DataFrame, pred: DataFrame, least: int = 2) -> DataFrame:
     """Gold rows rewritten to the predicted row of the same relation whose ends their own ends hold: an exact one, else the one of largest product of lengths (ties: smallest); others stay. Distinct."""
     g = gold.select(*KEY).distinct()
     p = pred.select(F.col("head").alias("p_head"), "relation", F.col("tail").alias("p_tail")).distinct()
-    inside = F.contains("head", F.col("p_head")) & F.contains("tail", F.col("p_tail")) & (F.length("p_head") >= least) & (F.length("p_tail") >= least)
     exact = (F.col("head") == F.col("p_head")) & (F.col("tail") == F.col("p_tail"))
-    hits = g.join(p, "relation").where(inside | exact)
+    # Names within names meet by equality of substrings, of the distinct names alone.
+    names = g.select(F.explode(F.array("head", "tail")).alias("whole")).distinct()
+    inner = p.select(F.explode(F.array("p_head", "p_tail")).alias("part")).distinct().where(F.length("part") >= least)
+    longest = inner.agg(F.max(F.length("part")).alias("n")).first()["n"] or 0
+    held = substrings(names, "whole", longest).join(inner, "part").distinct()
+    of = lambda end: held.select(F.col("whole").alias(end), F.col("part").alias(f"p_{end}"))
+    hits = g.join(of("head"), "head").join(p, ["relation", "p_head"]).join(of("tail"), ["tail", "p_tail"])
+    hits = hits.unionByName(g.join(p, (g["relation"] == p["relation"]) & exact).select(g["head"], g["relation"], g["tail"], "p_head", "p_tail"))
     rank = F.struct((~exact).alias("x"), (-F.length("p_head") * F.length("p_tail")).alias("n"), "p_head", "p_tail")
     best = hits.groupBy(*KEY).agg(F.min(rank).alias("b"))
     return g.join(best, KEY, "left").select(F.coalesce("b.p_head", "head").alias("head"), "relation", F.coalesce("b.p_tail", "tail").alias("tail")).distinct()
@@ -57,17 +76,20 @@ def error_buckets(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", F.when(F.col("outcome") == "fn", missed).otherwise(wrong)).groupBy("outcome", "bucket").agg(F.count("*").alias("n"))
 
 
+def guess_type(c: Column, pack: Pack = ZH) -> Column:
+    """Type of a term by the first of the pack's patterns that it holds; CONCEPT without one, `_DROP_` for quantities."""
+    return reduce(lambda out, x: F.when(c.rlike(x[1]), x[0]).otherwise(out), reversed(pack.type_guesses), F.lit("CONCEPT"))
+
+
 def suggest_terms(gold: DataFrame, vocabulary: DataFrame, gold_types: DataFrame | None = None, guess: Column | None = None, examples: int = 3) -> DataFrame:
-    """Gold entities that the dictionary lacks, numbers aside: term, etype (gold's, else the guess over `term`), and up to `examples` gold rows."""
+    """Gold entities that the dictionary lacks, numbers aside: term, etype (gold's, else a guess over `term`, by default guess_type; those that it drops go), and up to `examples` gold rows."""
     each = gold.select(F.explode(F.array("head", "tail")).alias("term"), F.concat_ws(" ", *KEY).alias("row"))
     new = each.join(vocabulary.select("term").distinct(), "term", "left_anti").where(~numberish(F.col("term"))).distinct()
     w = W.partitionBy("term").orderBy("row")
     few = new.withColumn("n", F.row_number().over(w)).where(F.col("n") <= examples).groupBy("term").agg(F.sort_array(F.collect_list("row")).alias("examples"))
-    other = guess if guess is not None else F.lit("CONCEPT")
-    if gold_types is None:
-        return few.select("term", other.alias("etype"), "examples")
-    told = gold_types.groupBy(F.col("entity").alias("term")).agg(F.min("type").alias("t"))
-    return few.join(told, "term", "left").select("term", F.coalesce("t", other).alias("etype"), "examples")
+    other = guess if guess is not None else guess_type(F.col("term"))
+    told = gold_types.groupBy(F.col("entity").alias("term")).agg(F.min("type").alias("t")) if gold_types is not None else few.select("term", F.lit(None).cast("string").alias("t"))
+    return few.join(told, "term", "left").select("term", F.coalesce("t", other).alias("etype"), "examples").where("etype <> '_DROP_'")
 
 
 def merge_terms(vocabulary: DataFrame, more: DataFrame) -> DataFrame:
@@ -106,26 +128,80 @@ def discovered(proposed: DataFrame, known: DataFrame, allowed: tuple[str, ...],
     return rows.withColumn("n", F.row_number().over(W.partitionBy("text").orderBy(*KEY))).where(F.col("n") <= most).drop("n")
 
 
-def enhanced(edges: DataFrame, client: Callable[[list[dict]], list[dict]] | None = None, batch: int = 50) -> DataFrame:
-    """Edges kept or added by a client that gets `batch` at a time as dicts; without one, or where it fails, polished as they are."""
-    from graphloom.operators.merge import polished
+REPLY = "kept array<struct<head:string,relation:string,tail:string,score:double>>, added array<struct<head:string,relation:string,tail:string,score:double>>"
+
+
+def reply_triples(replies: DataFrame) -> DataFrame:
+    """Edges of a service's replies (reply: text; chapter, sentence of its batch): objects `kept` and `added`, stripped, without empty or equal ends, the first of equal keys of a reply; scores 0.7 by default, within 0 and 1."""
+    parsed = replies.withColumn("row_", F.monotonically_increasing_id()).withColumn("r", lenient_json(F.col("reply"), REPLY))
+    source = lambda c, name: F.transform(F.coalesce(F.col(f"r.{c}"), F.from_json(F.lit("[]"), "array<struct<head:string,relation:string,tail:string,score:double>>")), lambda x: F.struct(x.alias("t"), F.lit(name).alias("source")))
+    each = parsed.select("row_", "chapter", "sentence", F.posexplode(F.concat(source("kept", "trigger+llm"), source("added", "llm"))).alias("k", "x"))
+    rows = each.select("row_", "k", *(strip(F.coalesce(f"x.t.{c}", F.lit(""))).alias(c) for c in KEY), F.lit("llm").alias("trigger"), "x.source", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("x.t.score", F.lit(0.7)))).alias("score"), "chapter", "sentence")
+    ok = rows.where("head <> '' and relation <> '' and tail <> '' and head <> tail")
+    return ok.withColumn("n", F.row_number().over(W.partitionBy("row_", *KEY).orderBy("k"))).where("n = 1").drop("n", "row_", "k")
 
-    if client is None:
-        return polished(edges)
-    columns = edges.columns
 
-    def run(frames):
-        import pandas as pd
+def enhanced(edges: DataFrame, client: Callable[[str, list[dict]], str] | None = None, sentences: DataFrame | None = None, batch: int = 50, most_chars: int = 16_000) -> DataFrame:
+    """Edges as a client keeps and adds them, a chapter at a time; without one, polished as they are.
 
-        for pdf in frames:
-            for at in range(0, len(pdf), batch):
-                some = pdf.iloc[at : at + batch]
-                try:
-                    yield pd.DataFrame(client(some.to_dict("records")), columns=columns)
-                except Exception:  # a failing service changes nothing
-                    yield some
+    Chapters' edges go in batches of `batch` (by key), each with the first most_chars characters of the chapter's
+    sentences; client(text, edges) gives a reply as reply_triples() reads it. A batch whose call fails, or whose reply
+    holds no valid triple, stays as it was. Batches are rows, so a large chapter is many tasks.
+    """
+    from graphloom.operators.merge import merge_triples, polished
 
-    return polished(edges.mapInPandas(run, edges.schema))
+    if client is None:
+        return polished(edges)
+    fields = [*KEY, "trigger", "source", "score", "chapter", "sentence"]
+    # Batches of a chapter by hash: about `batch` each, with no window over a whole chapter.
+    size = edges.groupBy("chapter").agg(F.ceil(F.count("*") / batch).alias("parts"))
+    placed = edges.select(*fields).join(size, "chapter").withColumn("part", F.pmod(F.xxhash64(*KEY), F.col("parts")))
+    batches = placed.groupBy("chapter", "part").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    if sentences is not None:
+        text = sentences.groupBy("chapter").agg(F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sentence_id", "text"))), lambda x: x["text"]), "\n"), 1, most_chars).alias("text"))
+        batches = batches.join(text, "chapter", "left")
+    else:
+        batches = batches.withColumn("text", F.lit(""))
+
+    @F.pandas_udf("string")
+    def call(texts: pd.Series, rows: pd.Series) -> pd.Series:
+        def one(text, some) -> str | None:
+            try:
+                return client(text or "", [dict(r) for r in some])
+            except Exception:  # a failing service changes nothing
+                return None
+
+        return pd.Series([one(*x) for x in zip(texts, rows)], dtype=object)
+
+    # Called once: what the service said is a table before it is read twice.
+    said = written(batches.withColumn("reply", call("text", "rows")).withColumn("id_", F.xxhash64("chapter", "part")), "replies")
+    first = F.get("rows", F.lit(0))
+    told = reply_triples(said.select("id_", "reply", first["chapter"].alias("chapter"), first["sentence"].alias("sentence")).withColumn("sentence", F.concat(F.col("id_").cast("string"), F.lit("|"), "sentence")))
+    told = told.withColumns({"id_": F.substring_index("sentence", "|", 1).cast("long"), "sentence": F.expr("substring(sentence, instr(sentence, '|') + 1)")})
+    silent = said.join(told.select("id_").distinct(), "id_", "left_anti").select(F.explode("rows").alias("r")).select("r.*").select(*fields)
+    both = told.select(*fields).unionByName(silent).withColumns({"stage": F.lit(0), "sentence_id": F.lit(0), "ord": F.xxhash64(*KEY, "source")})
+    return merge_triples(both)
+
+
+def discover(chapters: DataFrame, edges: DataFrame, client: Callable[[str, str, list[dict]], list[dict]], allowed: tuple[str, ...], most_new: int = 40, most_known: int = 60, most_chars: int = 16_000, least_chars: int = 40) -> DataFrame:
+    """New triples that a client proposes for each chapter (chapter, text) of least_chars characters at least, told most_known known edges: those that discovered() finds valid, most_new a chapter at most. A failing call proposes nothing."""
+    known = edges.select("chapter", *KEY).distinct().withColumn("n", F.row_number().over(W.partitionBy("chapter").orderBy(*KEY))).where(F.col("n") <= most_known)
+    listed = known.groupBy("chapter").agg(F.sort_array(F.collect_list(F.struct(*KEY))).alias("known"))
+    asked = chapters.select("chapter", F.substring(strip(F.coalesce("text", F.lit(""))), 1, most_chars).alias("text")).where(F.length("text") >= least_chars).join(listed, "chapter", "left")
+
+    @F.pandas_udf("array<struct<head:string,relation:string,tail:string>>")
+    def call(texts: pd.Series, names: pd.Series, rows: pd.Series) -> pd.Series:
+        def one(text, chapter, some) -> list[dict]:
+            try:
+                found = client(text, chapter, [dict(r) for r in (some if some is not None else ())])
+                return [{c: str(x.get(c) or "").strip() for c in KEY} for x in found]
+            except Exception:
+                return []
+
+        return pd.Series([one(*x) for x in zip(texts, names, rows)], dtype=object)
+
+    proposed = asked.select("text", F.explode(call("text", "chapter", "known")).alias("t")).select("text", "t.*")
+    return discovered(proposed, edges, allowed, most_new)
 
 
 def lenient_json(c: Column, schema: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 
 from graphloom.functions.pack import GLOBAL_RELATIONS, ZH, Pack
 from graphloom.functions.text import strip
+from graphloom.sources.shared import written
 
 KEY = ["head", "relation", "tail"]
 
@@ -83,39 +86,79 @@ def levels(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return out
 
 
-def _partly(a: Column, b: Column, least: int) -> Column:
-    return (a == b) | ((F.length(a) >= least) & (F.length(b) >= least) & (F.contains(a, b) | F.contains(b, a)))
+def _near_names(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
+    """(a, b): names of either table that are equal or hold one another (both of `least` characters then). Names meet by equality of substrings."""
+    from graphloom.operators.curate import substrings
+
+    def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
+        parts = inner.where(F.length("name") >= least).select(F.col("name").alias("part"))
+        longest = parts.agg(F.max(F.length("part")).alias("n")).first()["n"] or 0
+        return substrings(outer.where(F.length("name") >= least).withColumnRenamed("name", "whole"), "whole", longest).join(parts, "part").distinct()
+
+    equal = a.join(b, "name").select(F.col("name").alias("a"), F.col("name").alias("b"))
+    return equal.union(within(a, b).select("part", "whole")).union(within(b, a).select("whole", "part")).distinct()
+
+
+def _candidates(pred: DataFrame, gold: DataFrame, least: int) -> DataFrame:
+    p, g = (x.select(F.col("relation"), F.col("head").alias(f"{s}_head"), F.col("tail").alias(f"{s}_tail")).distinct() for x, s in ((pred, "p"), (gold, "g")))
+    near = lambda end: _near_names(p.select(F.col(f"p_{end}").alias("name")).distinct(), g.select(F.col(f"g_{end}").alias("name")).distinct(), least).select(F.col("a").alias(f"p_{end}"), F.col("b").alias(f"g_{end}"))
+    return p.join(near("head"), "p_head").join(g, ["relation", "g_head"]).join(near("tail"), ["p_tail", "g_tail"]).select("relation", *PAIR)
+
+
+PAIR = ["p_head", "p_tail", "g_head", "g_tail"]
 
 
 def partial_matches(pred: DataFrame, gold: DataFrame, least: int = 2, maximum: bool = False) -> DataFrame:
-    """One-to-one pairs of the same relation whose ends hold one another. Greedy in the order of predicted, then gold key (exact ones first), or the most pairs possible (`maximum`). Matching is sequential within a relation."""
-    p, g = (x.select(*(F.col(c).alias(f"{s}_{c}") for c in KEY)) for x, s in ((pred, "p"), (gold, "g")))
-    ok = (F.col("p_relation") == F.col("g_relation")) & _partly(F.col("p_head"), F.col("g_head"), least) & _partly(F.col("p_tail"), F.col("g_tail"), least)
-    cols = ["p_head", "p_tail", "g_head", "g_tail"]
-    edges = p.join(g, ok).select(F.col("p_relation").alias("relation"), *cols)
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(inexact=(pdf.p_head != pdf.g_head) | (pdf.p_tail != pdf.g_tail)).sort_values(["inexact", *cols])
-        near: dict[tuple, list[tuple]] = {}
-        for a, b, c, d in pdf[cols].itertuples(index=False):
-            near.setdefault((a, b), []).append((c, d))
-        taken: dict[tuple, tuple] = {}
-
-        def place(x: tuple, seen: set) -> bool:
+    """One-to-one pairs of the same relation whose ends are equal or hold one another: relation, p_head, p_tail, g_head, g_tail.
+
+    Greedy in the order of (exact first, predicted, gold key): in rounds, each pair goes that is the first of both its
+    rows, until none is left; that is what one pass in order gives, and no relation needs one task. With `maximum` the
+    most pairs possible, where a relation's pairs are one task.
+    """
+    edges = _candidates(pred, gold, least)
+    if maximum:
+        return edges.groupBy("relation").applyInPandas(_most_pairs, "relation string, p_head string, p_tail string, g_head string, g_tail string")
+    ends = (["relation", "p_head", "p_tail"], ["relation", "g_head", "g_tail"])
+    order = F.struct(((F.col("p_head") != F.col("g_head")) | (F.col("p_tail") != F.col("g_tail"))).alias("inexact"), *PAIR)
+
+    left, rounds = written(edges.withColumn("o", order), "pairs"), []
+    while True:
+        first = left
+        for k, end in enumerate(ends):
+            first = first.join(left.groupBy(*end).agg(F.min("o").alias(f"o{k}")), end)
+        rounds.append(written(first.where("o = o0 and o = o1").select("relation", *PAIR), "pairs"))
+        for end in ends:
+            left = left.join(rounds[-1].select(*end), end, "left_anti")
+        left = written(left, "pairs")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+
+
+def _most_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A maximum matching by augmenting paths, without recursion."""
+    near: dict[tuple, list[tuple]] = {}
+    for a, b, c, d in pdf.sort_values(PAIR)[PAIR].itertuples(index=False):
+        near.setdefault((a, b), []).append((c, d))
+    taken: dict[tuple, tuple] = {}
+    mine: dict[tuple, tuple] = {}
+    for start in near:
+        came: dict[tuple, tuple] = {}  # gold row: the predicted row that reached it
+        todo, free = [start], None
+        while todo and free is None:
+            x = todo.pop()
             for y in near[x]:
-                if y not in seen:
-                    seen.add(y)
-                    if y not in taken or (maximum and place(taken[y], seen)):
-                        taken[y] = x
-                        return True
-            return False
-
-        for x in near:
-            place(x, set())
-        out = pd.DataFrame([(pdf["relation"].iloc[0], *x, *y) for y, x in taken.items()], columns=["relation", *cols])
-        return out
-
-    return edges.groupBy("relation").applyInPandas(match, "relation string, p_head string, p_tail string, g_head string, g_tail string")
+                if y not in came:
+                    came[y] = x
+                    if y not in taken:
+                        free = y
+                        break
+                    todo.append(taken[y])
+        while free is not None:  # along the path each predicted row moves on, and gives up what it had
+            x = came[free]
+            before = mine.get(x)
+            taken[free], mine[x] = x, free
+            free = before
+    return pd.DataFrame([(pdf["relation"].iloc[0], *x, *y) for y, x in taken.items()], columns=["relation", *PAIR])
 
 
 def partial_prf(pred: DataFrame, gold: DataFrame, least: int = 2, maximum: bool = False) -> DataFrame:

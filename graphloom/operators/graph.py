@@ -45,6 +45,14 @@ def triples_of(edges: DataFrame, entity: str) -> DataFrame:
     return best_of_key(mine)
 
 
+def legend(edges: DataFrame, types: DataFrame | None = None, groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """kind, name of what a graph shows: the types of its entities (types: term, etype; `_UNKNOWN_` for others) and the groups of its relations (a relation without group by its own name), once each."""
+    found = entities(edges)
+    typed = found.join(types.select(F.col("term").alias("entity"), "etype"), "entity", "left") if types is not None else found.withColumn("etype", F.lit(None).cast("string"))
+    group = reduce(lambda out, kv: F.when(F.col("relation").isin(list(kv[1])), kv[0]).otherwise(out), reversed(list((groups or {}).items())), F.col("relation"))
+    return typed.select(F.lit("type").alias("kind"), F.coalesce("etype", F.lit("_UNKNOWN_")).alias("name")).union(edges.where("relation <> ''").select(F.lit("relation"), group)).distinct()
+
+
 def related(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.where(((F.col("head") == a) & (F.col("tail") == b)) | ((F.col("head") == b) & (F.col("tail") == a)))
 

@@ -13,6 +13,15 @@ from graphloom.functions.pack import ZH, Pack
 from graphloom.functions.text import clean_text, strip
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs in as many partitions as there are cores, if the table is so small that its scan gives fewer (by its estimated size); a larger table stays as it is, unshuffled."""
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    each = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").lower()))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(cores) if size < cores * each else docs
+
+
 def _lines(text: Column, pack: Pack, fix_sections: bool) -> Column:
     """Array of (text, chapter, section: whether the line is a heading of that kind) of the lines that aren't blank. With fix_sections headings are told before blanks are dropped, where a section number still has its space."""
     raw = F.split(clean_text(text, pack.drop_spaces and not fix_sections), "\n")
@@ -21,6 +30,11 @@ def _lines(text: Column, pack: Pack, fix_sections: bool) -> Column:
     return F.filter(F.transform(told, kind), lambda x: x["text"] != "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, whatever the optimizer would inline."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _last_before(places: Column, i: Column) -> Column:
     """The greatest of ascending places that isn't over i; -1 without one."""
     return F.coalesce(F.array_max(F.filter(places, lambda p: p <= i)), F.lit(-1))
@@ -28,14 +42,15 @@ def _last_before(places: Column, i: Column) -> Column:
 
 def _placed(docs: DataFrame, pack: Pack, id_col: str, text_col: str, fix_sections: bool) -> DataFrame:
     """doc_id and paras: array of (chapter, section, text) of a document's paragraphs. All within the row: nothing is shuffled."""
-    lined = docs.select(F.col(id_col).alias("doc_id"), _lines(F.col(text_col), pack, fix_sections).alias("lines"))
-    places = lambda kind: F.filter(F.transform("lines", lambda x, i: F.when(x[kind], i)), lambda i: i.isNotNull())
-    marked = lined.withColumns({"chapters": places("chapter"), "sections": places("section")})
-    body = F.filter(F.transform("lines", lambda x, i: F.when(~x["chapter"] & ~x["section"] & (F.length(x["text"]) >= pack.min_paragraph), F.struct(i.alias("i"), x["text"].alias("text")))), lambda x: x.isNotNull())
-    at = F.transform(body, lambda x: F.struct(x["text"].alias("text"), _last_before(F.col("chapters"), x["i"]).alias("c"), _last_before(F.col("sections"), x["i"]).alias("s")))
-    line = lambda i: F.get(F.col("lines"), i)["text"]
-    paras = F.transform("at", lambda x: F.struct(F.when(x["c"] >= 0, line(x["c"])).otherwise("").alias("chapter"), F.when(x["s"] > x["c"], line(x["s"])).otherwise("").alias("section"), x["text"].alias("text")))
-    return marked.withColumn("at", at).select("doc_id", paras.alias("paras"))
+    places = lambda lines, kind: F.filter(F.transform(lines, lambda x, i: F.when(x[kind], i)), lambda i: i.isNotNull())
+    heading = lambda lines, i: F.coalesce(F.get(lines, F.when(i >= 0, i))["text"], F.lit(""))
+
+    def placed(lines: Column, chapters: Column, sections: Column) -> Column:
+        at = F.filter(F.transform(lines, lambda x, i: F.struct(x["text"].alias("text"), (~x["chapter"] & ~x["section"] & (F.length(x["text"]) >= pack.min_paragraph)).alias("body"), _last_before(chapters, i).alias("c"), _last_before(sections, i).alias("s"))), lambda x: x["body"])
+        return F.transform(at, lambda x: F.struct(heading(lines, x["c"]).alias("chapter"), F.when(x["s"] > x["c"], heading(lines, x["s"])).otherwise("").alias("section"), x["text"].alias("text")))
+
+    paras = _let(_lines(F.col(text_col), pack, fix_sections), lambda lines: _let(places(lines, "chapter"), lambda chapters: _let(places(lines, "section"), lambda sections: placed(lines, chapters, sections))))
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(paras, F.array().cast("array<struct<chapter:string,section:string,text:string>>")).alias("paras"))
 
 
 def paragraphs(docs: DataFrame, pack: Pack = ZH, id_col: str = "doc_id", text_col: str = "text", fix_sections: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ from graphloom.functions.pack import ZH, Pack
 from graphloom.functions.text import strip
 from graphloom.operators import graph
 from graphloom.operators.mentions import with_mentions
+from graphloom.sources.shared import written
 
 # Relations that each intent looks up, how many rows it returns, and the words of answers.
 PROPERTIES = ("has_part", "has_parameter", "has_performance", "has_configuration", "has_value", "has_property", "uses_material", "made_of")
@@ -47,7 +48,7 @@ def _clean(q: str) -> str:
 def parse_questions(questions: DataFrame, entities: DataFrame, pack: Pack = ZH) -> DataFrame:
     """With q (cleaned), intent, relation and entities: mentions in order, without repeats; before them, of each captured group in turn, its longest entity (ties: the smallest) that isn't there yet."""
     regexes = [re.compile(p) for _, p, _ in pack.intents]
-    told = questions.withColumn("q", clean_question(F.col("question"))).withColumn("i", intent(F.col("q"), pack)).select("*", "i.*").drop("i")
+    told = questions.withColumn("q", clean_question(F.col("question"))).withColumn("i", F.transform(F.array("q"), lambda q: intent(q, pack))[0]).select("*", "i.*").drop("i")
 
     @F.pandas_udf("array<string>")
     def groups(qs: pd.Series) -> pd.Series:
@@ -113,7 +114,9 @@ def retrieve(parsed: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFram
     """
     q = parsed.select("qid", "intent", "relation", F.get("entities", F.lit(0)).alias("a"), F.get("entities", F.lit(1)).alias("b")).where("a is not null")
     q = q.withColumn("kind", F.when((F.col("intent") == "RELATION") & F.col("b").isNull(), "NEIGHBOR").otherwise(F.col("intent")))
-    e = graph.best_of_key(edges).select("head", F.col("relation").alias("rel"), "tail", "score")
+    # Both sides are read by several branches: as tables they are computed once.
+    q = written(q, "asked")
+    e = written(graph.best_of_key(edges).select("head", F.col("relation").alias("rel"), "tail", "score"), "edges")
     end = F.explode(F.array(F.struct(F.col("head").alias("at"), F.lit("out").alias("side")), F.struct(F.col("tail").alias("at"), F.lit("in").alias("side"))))
     ends = e.select("*", end.alias("end")).select("*", "end.*").drop("end")
     cols = ["qid", "intent", "kind", "priority", "head", "rel", "tail", "score"]
@@ -130,7 +133,7 @@ def retrieve(parsed: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFram
     back = two.where("a <> b").join(e, (F.col("b") == F.col("head")) & (F.col("a") == F.col("tail")))
     straight = ahead.withColumn("priority", F.lit(0)).select(*cols).unionByName(back.withColumn("priority", F.lit(1)).select(*cols))
     far = two.join(straight.select("qid").distinct(), "qid", "left_anti")
-    found = graph.paths(edges, far.select(F.col("a").alias("source"), F.col("b").alias("target")).distinct(), max_hops, 4)
+    found = graph.paths(e.withColumnRenamed("rel", "relation"), far.select(F.col("a").alias("source"), F.col("b").alias("target")).distinct(), max_hops, 4)
     found = found.withColumn("path", F.row_number().over(W.partitionBy("source", "target").orderBy("hops", "nodes"))).select("source", "target", "path", F.posexplode("steps").alias("k", "s"))
     walked = far.join(found, (F.col("a") == F.col("source")) & (F.col("b") == F.col("target"))).select("qid", "intent", "kind", (F.col("path") * 100 + F.col("k")).alias("priority"), F.col("s.head").alias("head"), F.col("s.relation").alias("rel"), F.col("s.tail").alias("tail"), F.col("s.score").alias("score"))
     rows = looked.unionByName(part).unionByName(straight).unionByName(walked)

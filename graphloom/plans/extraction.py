@@ -29,7 +29,7 @@ class ExtractionConfig:
     chapter_types: tuple[str, ...] = ()
     annotator: Callable[[DataFrame], DataFrame] | None = None  # adds tokens to sentences; without it there are no dependency triples
     dependency_rules: tuple[str, ...] = ("svo", "dep")
-    client: Callable[[list[dict]], list[dict]] | None = None
+    client: Callable[[str, list[dict]], str] | None = None  # of a chapter's text and some of its edges, to a reply
 
 
 class Extraction(NamedTuple):
@@ -44,7 +44,7 @@ class Extraction(NamedTuple):
 def extract(docs: DataFrame, vocabulary: DataFrame, config: ExtractionConfig = ExtractionConfig()) -> Extraction:
     """docs(doc_id, text) and vocabulary(term, etype) to edges. Mentions are found once; scores are gated before the merge, filtered after it; observed entities come from all candidates, filtered or not."""
     pack = config.pack
-    sents = preprocess.document_sentences(docs, pack)
+    sents = preprocess.document_sentences(preprocess.spread(docs), pack)
     mentioned = mentions.with_mentions(sents, vocabulary, pack, config.numeric, config.codes).persist()
     flat = mentions.exploded(mentioned)
     parts = [relations.trigger_triples(mentioned, pack, config.max_window, config.gate, config.neighbours)]
@@ -70,7 +70,7 @@ def extract(docs: DataFrame, vocabulary: DataFrame, config: ExtractionConfig = E
     if config.client:
         from graphloom.operators.curate import enhanced
 
-        edges = enhanced(edges, config.client)
+        edges = enhanced(edges, config.client, sents)
     else:
         edges = merge.polished(edges)
     return Extraction(sents, flat, candidates, edges, merge.entities(edges), merge.statistics(edges))

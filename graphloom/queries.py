@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark, d):
-    return load(spark, d, "documents").select("doc_id", "text")
+    return preprocess.spread(load(spark, d, "documents").select("doc_id", "text"))
 
 
 def _sentences(spark, d):
@@ -65,7 +65,16 @@ def p5_sentences(spark, d):
     return _sentences(spark, d).drop("section").withColumn("text", F.md5("text"))
 
 
-@query()
+@query(r"""WITH RECURSIVE raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM raw),
+b AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+h AS (SELECT *, regexp_matches(bare, '^第\s*[一二三四五六七八九十百0-9]+\s*章|^\d+(?:\.\d+){0,3}\s') AS head FROM b),
+s AS (SELECT *, sum(head::INTEGER) OVER (PARTITION BY doc_id ORDER BY k) AS sec, last_value(CASE WHEN head THEN bare[:60] END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS lab FROM h),
+n AS (SELECT doc_id, sec, coalesce(lab, '导言') AS lab, line, row_number() OVER (PARTITION BY doc_id, sec ORDER BY k) AS n FROM s WHERE NOT head AND bare <> ''),
+r AS (SELECT doc_id, sec, lab, n, line, 1 AS part, length(line) AS size FROM n WHERE n = 1
+  UNION ALL SELECT n.doc_id, n.sec, n.lab, n.n, n.line, CASE WHEN r.size + length(n.line) > 1800 THEN r.part + 1 ELSE r.part END, CASE WHEN r.size + length(n.line) > 1800 THEN length(n.line) ELSE r.size + length(n.line) END FROM r JOIN n ON n.doc_id = r.doc_id AND n.sec = r.sec AND n.n = r.n + 1),
+c AS (SELECT doc_id, sec, lab, part, string_agg(line, chr(10) ORDER BY n) AS text, max(part) OVER (PARTITION BY doc_id, sec) AS parts FROM r GROUP BY doc_id, sec, lab, part)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec, part) - 1)::INTEGER AS chunk_id, CASE WHEN parts = 1 THEN lab ELSE lab || ' #' || part END AS label, md5(text) AS text FROM c""")
 def p6_chunks(spark, d):
     return preprocess.chunks(_docs(spark, d), pack=LATIN).withColumn("text", F.md5("text"))
 
@@ -139,9 +148,14 @@ def m2_merge_same_source(spark, d):
     return merge.merge_triples(rows).select("head", "relation", "tail", "score", "source")
 
 
-@query(f"WITH {EDGES_SQL} SELECT relation, count(*)::BIGINT AS n FROM edges GROUP BY relation UNION ALL SELECT NULL, count(*)::BIGINT FROM edges")
+@query(f"WITH {EDGES_SQL}, e AS (SELECT *, 'rows of ' || relation AS source FROM edges) SELECT NULL AS source, relation, count(*)::BIGINT AS n FROM e GROUP BY relation UNION ALL SELECT source, NULL, count(*)::BIGINT FROM e GROUP BY source UNION ALL SELECT NULL, NULL, count(*)::BIGINT FROM e")
 def m8_statistics(spark, d):
-    return merge.statistics(commerce_edges(spark, d).withColumn("source", F.lit("table"))).where("level <> 1").select("relation", "n")
+    return merge.statistics(commerce_edges(spark, d).withColumn("source", F.concat(F.lit("rows of "), "relation"))).select("source", "relation", "n")
+
+
+@query(f"WITH {EDGES_SQL} SELECT head, relation, tail, score FROM edges")
+def m5_ranked(spark, d):
+    return merge.ranked(commerce_edges(spark, d))
 
 
 @query(f"WITH {EDGES_SQL} SELECT head, relation, tail, score FROM edges")
@@ -154,6 +168,16 @@ def g2_entities(spark, d):
     return graph.entities(commerce_edges(spark, d))
 
 
+@query(f"WITH {EDGES_SQL} SELECT DISTINCT relation FROM edges")
+def g2_relations(spark, d):
+    return graph.relations(commerce_edges(spark, d))
+
+
+@query(f"WITH {EDGES_SQL} SELECT count(*)::BIGINT AS n FROM edges")
+def g12_count(spark, d):
+    return commerce_edges(spark, d).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {EDGES_SQL} SELECT head, relation, tail, max(score) AS score FROM edges WHERE head = 'ASIA' OR tail = 'ASIA' OR head = 'NATION_2' OR tail = 'NATION_2' GROUP BY ALL")
 def g3_triples_of(spark, d):
     e = commerce_edges(spark, d)
@@ -176,17 +200,19 @@ def g6_related(spark, d):
     return graph.related(commerce_edges(spark, d), "ASIA", "NATION_2")
 
 
-_PATH_EDGES = EDGES_SQL + ", u AS (SELECT head AS a, tail AS b FROM edges WHERE relation <> 'provides' UNION SELECT tail, head FROM edges WHERE relation <> 'provides')"
+_PATH_EDGES = EDGES_SQL + ", u AS (SELECT head AS a, tail AS b FROM edges UNION SELECT tail, head FROM edges)"
 
 
 @query(f"""WITH {_PATH_EDGES}, pairs AS (SELECT x.n_name AS s, y.n_name AS t FROM nation AS x JOIN nation AS y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name),
-two AS (SELECT s, t, [s, p.b, t] AS nodes FROM pairs JOIN u AS p ON p.a = s JOIN u AS q ON q.a = p.b AND q.b = t WHERE p.b <> s AND p.b <> t),
-r AS (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY nodes) AS k FROM two)
-SELECT s AS source, t AS target, 2 AS hops, array_to_string(nodes, '|') AS nodes FROM r WHERE k <= 6""")
+two AS (SELECT s, t, 2 AS hops, [s, p.b, t] AS nodes FROM pairs JOIN u AS p ON p.a = s JOIN u AS q ON q.a = p.b AND q.b = t WHERE p.b <> s AND p.b <> t
+UNION ALL SELECT s, t, 3, [s, p.b, q.b, t] FROM pairs JOIN u AS p ON p.a = s JOIN u AS q ON q.a = p.b JOIN u AS r ON r.a = q.b AND r.b = t WHERE p.b <> s AND p.b <> t AND q.b <> s AND q.b <> t AND q.b <> p.b
+UNION ALL SELECT s, t, 1, [s, t] FROM pairs JOIN u ON a = s AND b = t),
+r AS (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY hops, nodes) AS k FROM two)
+SELECT s AS source, t AS target, hops, array_to_string(nodes, '|') AS nodes FROM r WHERE k <= 6""")
 def g7_paths(spark, d):
     n = load(spark, d, "nation")
     ends = n.alias("x").join(n.alias("y"), (F.col("x.n_regionkey") == F.col("y.n_regionkey")) & (F.col("x.n_name") < F.col("y.n_name"))).select(F.col("x.n_name").alias("source"), F.col("y.n_name").alias("target"))
-    found = graph.paths(commerce_edges(spark, d).where("relation <> 'provides'"), ends, max_hops=2)
+    found = graph.paths(commerce_edges(spark, d), ends)
     return found.select("source", "target", "hops", F.array_join("nodes", "|").alias("nodes"))
 
 
@@ -195,7 +221,7 @@ d2 AS (SELECT DISTINCT d1.seed, u.b AS entity FROM d1 JOIN u ON u.a = d1.entity
 SELECT r_name AS seed, r_name AS entity, 0 AS depth FROM region UNION ALL SELECT seed, entity, 1 FROM d1 UNION ALL SELECT seed, entity, 2 FROM d2""")
 def g8_frontier(spark, d):
     seeds = load(spark, d, "region").select(F.col("r_name").alias("entity"))
-    return graph.frontier(commerce_edges(spark, d).where("relation <> 'provides'"), seeds, 2)
+    return graph.frontier(commerce_edges(spark, d), seeds, 2)
 
 
 @query(f"""WITH {EDGES_SQL}, k AS (SELECT * FROM edges WHERE score >= 0.8 AND relation IN ('located_at', 'part_of')), u AS (SELECT head AS a, tail AS b FROM k UNION SELECT tail, head FROM k),
@@ -271,6 +297,11 @@ def e10_by_relation(spark, d):
     return evaluate.by_relation(*_pred_gold(spark, d))
 
 
+@query(f"WITH {_PG}, rel AS (SELECT DISTINCT r FROM gold), l AS (SELECT (SELECT count(*) FROM pred AS p JOIN gold AS g ON p.h = g.h AND p.r = g.r AND p.t = g.t WHERE g.r = rel.r) AS tp, (SELECT count(*) FROM pred WHERE pred.r = rel.r) AS np, (SELECT count(*) FROM gold WHERE gold.r = rel.r) AS ng FROM rel) SELECT round(avg(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / np) * (tp / ng) / (tp / np + tp / ng) END), 9) AS macro_f1 FROM l")
+def e11_macro(spark, d):
+    return evaluate.macro_f1(evaluate.by_relation(*_pred_gold(spark, d))).select(F.round("macro_f1", 9).alias("macro_f1"))
+
+
 @query(f"WITH {_PG}, o AS (SELECT h, t, max(r) AS gr FROM gold GROUP BY h, t) SELECT gr AS gold_relation, r AS pred_relation, count(*)::BIGINT AS n FROM pred JOIN o USING (h, t) WHERE r <> gr GROUP BY gr, r ORDER BY n DESC, gr, r LIMIT 12")
 def e12_confusions(spark, d):
     return evaluate.confusions(*_pred_gold(spark, d))
