@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from graphloom.llm.common import WORD, cut, forget, free_name
 
 UNIT = 1 << 30
-PART_ROWS = 20_000  # in a part at least; more rows have their square root in each, so that parts are few too
+PART_ROWS = 2_000  # in a part at least; more rows have their square root in each, so that parts are few too
 HOT = 1_000
 STEPS_A_JOB = 4
 
