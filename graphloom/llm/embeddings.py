@@ -242,3 +242,15 @@ def _one_length(classes: DataFrame, d: int, threshold: float, recall: float, sam
     found = cut(blocks.select(*block, "chunk", "id", "w", "v", "keys").mapInArrow(link, "id long, n long, other long"), "vector-links")
     counts = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     return counts, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+
+
+#: The same rows from all pairs of vectors (for tables without repeated identifiers).
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x),
+r AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.y FROM r JOIN l ON l.x = r.other),
+g AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM g LEFT JOIN n USING (vec_id)
+"""

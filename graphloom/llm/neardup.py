@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, forget, free_name, small_batches
+from graphloom.llm.common import WORD, cut, forget, free_name, small_batches
 from graphloom.llm.graph import components
 from graphloom.llm.runs import group_cuts, group_runs
 from graphloom.llm.words import chunks, min_hashes, shingles, splitmix, unique_sets
@@ -245,3 +245,16 @@ def deduplicated(docs: DataFrame, threshold: float = 0.75, miss: float = MISS, i
     twice = (F.col(names["n"]) > 1) & (F.col(names["words"]) > 0)
     once, again = kept.where(~twice), kept.where(twice).dropDuplicates([names["doc_id"], names["t1"], names["t2"]])
     return once.unionByName(again).select(*docs.columns)
+
+
+#: The same rows from all pairs that share a shingle, as texts (for tables without repeated identifiers).
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[k:k + 4] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM c JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE 100 * m >= 75 * (p.n + q.n - m)),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other),
+g AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM g LEFT JOIN n USING (doc_id)
+"""

@@ -79,6 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from graphloom.llm import chat, decontam
+    from graphloom.llm import chat, decontam, embeddings, neardup, repeats
 
-    return {"op5_chat_format": chat.SQL, "op7_decontaminate": decontam.SQL}
+    return {"op2_repeated_passages": repeats.SQL, "op3_embedding_dedup": embeddings.SQL, "op5_chat_format": chat.SQL, "op7_decontaminate": decontam.SQL, "op8_minhash_dedup": neardup.SQL}

@@ -283,3 +283,17 @@ def repeated_passages(docs: DataFrame, least: int = 400, id_col: str = "doc_id",
     clean = parted.where("spots is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("text").cast("binary").alias("kept"))
     out = clean.unionByName(cleaned)
     return out if output else out.drop("kept")
+
+
+#: The same rows from all strings of 400 bytes (for tables without repeated identifiers).
+SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents),
+p AS (SELECT doc_id, i, md5(b[i + 1:i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(0, n_bytes - 399)) AS i FROM b)),
+t AS (SELECT doc_id, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+f AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS first FROM t),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM (SELECT doc_id, i, sum(first::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f) GROUP BY doc_id, run),
+k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM r UNION ALL SELECT doc_id, coalesce(max(z), 0), any_value(n_bytes) FROM b LEFT JOIN r USING (doc_id) GROUP BY doc_id),
+j AS (SELECT doc_id, string_agg(hex(b[k.a + 1:k.z]), '' ORDER BY k.a) AS x FROM k JOIN b USING (doc_id) WHERE k.z > k.a GROUP BY doc_id),
+m AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256 FROM b LEFT JOIN m USING (doc_id) LEFT JOIN j USING (doc_id)
+"""
