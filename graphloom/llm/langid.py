@@ -187,7 +187,7 @@ def fit_crf(spans: list[tuple[str, str]], sequences: int | None = None, length:
 
 
 def training_spans(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """A bounded sample: of each language (every value of lang) at most `rows` whole training documents (crc32(doc_id) mod 5 not 0), those of least hash. One pass for the counts and one for the texts. Null texts and languages are left out; an empty table gives none."""
+    """A bounded sample: of each language (every value of lang) at most `rows` whole training documents (crc32(doc_id) mod 5 not 0), those of least hash; rows that repeat stand once. One pass for the counts and one for the texts. Null texts and languages are left out; an empty table gives none."""
     known = docs.where("lang is not null and text is not null").where(~held_out()).select("lang", "doc_id", "text")
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
@@ -197,7 +197,7 @@ def training_spans(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str,
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 40, int(3 * (rows + 20) / r["n"] * (1 << 40)))) for r in counts], "lang string, share long")
     # First by a threshold that keeps about three times as many, so that little is sorted; copies of a text differ in doc_id.
     hashed = known.withColumn("h", F.xxhash64("doc_id", "text", F.lit(5))).join(F.broadcast(shares), "lang")
-    few = hashed.where(F.pmod("h", F.lit(1 << 40)) < F.col("share"))
+    few = hashed.where(F.pmod("h", F.lit(1 << 40)) < F.col("share")).dropDuplicates(["lang", "doc_id", "text"])
     turn = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "doc_id", "text")
     picked = few.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= rows)
     return [(r["lang"], r["text"]) for r in picked.select("lang", "text", "k").orderBy("lang", "k").collect()]
