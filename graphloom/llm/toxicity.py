@@ -139,10 +139,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """Learn from training rows: those of docs(doc_id, text) with labels(doc_id, toxic) and crc32(doc_id) mod 5 not 0. Without rows of both labels every score is the base rate."""
     small_batches(docs.sparkSession)
     truth = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = truth.count()
+    # Rows are picked by identifier and text before they meet their labels, and repeated ones stand once: no identifier, however frequent, makes the sample larger.
+    n = docs.groupBy("doc_id").agg(F.count("*").alias("n")).join(truth, "doc_id").agg(F.sum("n").alias("n")).first()["n"] or 0
     share = min(1.0, sample_rows / max(1, n))
-    picked = truth.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    sample = cut(docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")), "toxic-sample")
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).where(~held_out()).dropDuplicates()
+    sample = cut(picked.join(truth, "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -410,6 +410,11 @@ def test_toxicity(spark):
     assert held and sum(r["predicted"] == (r["doc_id"] % 6 == 0) for r in held) >= 0.97 * len(held)
     assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got) and len(got) == 904
     assert all(not r["predicted"] for r in got if r["doc_id"] in (2000, 2001))
+    # An identifier with most of the rows: copies of one row count once, and the sample keeps to its bound.
+    common = docs.unionByName(spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("calm words "), (F.col("id") % 2).cast("string")).alias("text"), F.lit("x").alias("toxic")))
+    again = toxicity_scores(docs, fit_toxicity(common, labels)).collect()
+    held = [r for r in again if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 2000]
+    assert sum(r["predicted"] == (r["doc_id"] % 6 == 0) for r in held) >= 0.97 * len(held)
     none = labels.limit(0)
     assert toxicity_scores(docs, fit_toxicity(docs, none)).count() == 904
     assert toxicity_scores(docs.limit(0), fit_toxicity(docs.limit(0), labels)).count() == 0
