@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.llm.common import WORD, cut, forget, free_name
+from graphloom.llm.common import WORD, cut, forget, free_name, join_hot
 
 UNIT = 1 << 30
 PART_ROWS = 2_000  # in a part at least; more rows have their square root in each, so that parts are few too
@@ -37,11 +37,8 @@ def text_size(text: str = "text") -> Column:
 
 
 def _with_source(cells: DataFrame, of: DataFrame, total: int) -> DataFrame:
-    """cells joined with of (src, docs and more, one row per source) on src; no task gets all cells of a hot source."""
-    hot = F.col("docs") * HOT > total
-    rest = [c for c in of.columns if c != "src"]
-    near = cells.join(F.broadcast(of.where(hot)), "src", "left")
-    return near.where("docs is not null").unionByName(near.where("docs is null").drop(*rest).join(of.where(~hot), "src"))
+    """cells joined with of (src, docs and more, one row per source) on src; no task gets all cells of a hot source, and no join makes rows that are then dropped."""
+    return join_hot(cells, of, ["src"], "docs", total, HOT)
 
 
 def source_targets(cells: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
