@@ -41,6 +41,9 @@ def term_places(sentences: DataFrame, terms: DataFrame, limit: int | None = None
     from graphloom.functions.pack import Pack
     from graphloom.operators.mentions import with_mentions
 
+    terms = terms.select("term").where("length(term) >= 2")
+    if terms.isEmpty():  # texts aren't read for nothing
+        return sentences.select("sid", F.lit(0).alias("n"), F.lit("").alias("term")).limit(0)
     found = with_mentions(sentences.select("sid", "text"), terms, Pack(), numeric=False, codes=False, dedup=False)
     each = found.select("sid", F.length("text").alias("n"), F.explode(F.array_distinct(F.transform("mentions", lambda m: m["text"]))).alias("term"))
     if limit is None:
