@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.shared import dealt
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def commerce_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """head, relation, tail, score. Nation and region are small dimension tables; only lineitem to provides is shuffled, after partial counts."""
+    """head, relation, tail, score. Nation and region are small dimension tables; of lineitem only two keys are shuffled, to the names of parts, and counts of suppliers and names after that: nearly each (supplier, part) is another, names are few."""
     t = lambda n: load(spark, sf_dir, n)
     nation = t("nation").select("n_nationkey", "n_name", "n_regionkey")
     row = lambda df, h, r, x, s: df.select(F.col(h).alias("head"), F.lit(r).alias("relation"), F.col(x).alias("tail"), s.cast("double").alias("score"))
-    provides = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
-    provides = provides.join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    named = provides.groupBy("s_name", "p_name").agg(F.sum("n").alias("n"))
+    lines = dealt(t("lineitem").select("l_suppkey", "l_partkey").where("l_suppkey is not null and l_partkey is not null"), "l_partkey")
+    counted = lines.join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_name").agg(F.count("*").alias("n"))
+    named = counted.join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_name", "p_name").agg(F.sum("n").alias("n"))
     parts = [
         row(t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "c_name", "located_at", "n_name", F.lit(0.9)),
         row(t("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")), "s_name", "located_at", "n_name", F.lit(0.8)),

@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from graphloom.functions.pack import ZH, Pack
 from graphloom.functions.text import score_of, strip
+from graphloom.sources.shared import enough_partitions, written
 
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "gb18030")
 COLUMNS = {"head": ("head", "头实体", "source", "h"), "relation": ("relation", "关系", "type", "r"), "tail": ("tail", "尾实体", "target", "t")}
@@ -95,8 +98,27 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, order: list[str], single: bool = False) -> None:
     """Rows in order, with header; range-partitioned files unless a single one is asked for."""
-    out = df.orderBy(*order)
+    _sorted_csv(written(df, "unsorted"), path, order, single)
+
+
+def _sorted_csv(table: DataFrame, path: str, order: list[str], single: bool = False) -> None:
+    """write_csv of a table that is stored (ranges are found by a first pass over it, and its size is known). For a single file parts are sorted by as many tasks, and one task only copies them."""
+    out = table.repartitionByRange(enough_partitions(table), *order).sortWithinPartitions(*order)
+    if single:
+        out = out.persist(StorageLevel.DISK_ONLY)
+        out.count()
     (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    if single:
+        out.unpersist()
+
+
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """line, place (from 0) of a text file, read in parts: places within a block and lines of the blocks before."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("block").agg(F.count("*").alias("n"))
+    before = blocks.select("block", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # as many rows as blocks
+    placed = lines.withColumn("k", F.row_number().over(W.partitionBy("block").orderBy("id")))
+    return placed.join(F.broadcast(before), "block").select("line", (F.col("before") + F.col("k") - 1).alias("place"))
 
 
 def export_result(edges: DataFrame, folder: str) -> None:
@@ -104,9 +126,10 @@ def export_result(edges: DataFrame, folder: str) -> None:
     from graphloom.operators.merge import entities, statistics
 
     order = ["head", "relation", "tail"]
-    write_csv(edges.select(*order), f"{folder}/triples", order)
+    edges = written(edges, "edges")  # four files of them, sorted: found once
+    _sorted_csv(edges.select(*order), f"{folder}/triples", order)
     meta = edges.select(*order, "trigger", "source", F.format_string("%.3f", "score").alias("score"), "chapter", "sentence")
-    write_csv(meta, f"{folder}/triples_meta", order)
+    _sorted_csv(meta, f"{folder}/triples_meta", order)
     write_csv(entities(edges), f"{folder}/entities", ["entity"])
     write_csv(statistics(edges), f"{folder}/statistics", ["level", "source", "relation"], single=True)
 
